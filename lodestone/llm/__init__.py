@@ -8,9 +8,15 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _HOMES = {
+    "p1_found": "split",
+    "p1_pieces": "split",
+    "p2_found": "survivors",
+    "p2_merged": "survivors",
     "p5_found": "neardup",
+    "p7_found": "history",
     "p8_ids": "encode",
     "p9_containers": "pack",
+    "p10_found": "residue",
 }
 
 

@@ -24,7 +24,7 @@ WORDS = re.compile(r"[^\W_]+")
 MIN_WORDS = 40
 LIKENESS = 0.6
 #: Keys shared by more classes than this are not paired as they are; their classes go through the exact prefix join.
-BUCKET_CAP = 256
+BUCKET_CAP = 4096
 
 
 class _Hashes(dict):
