@@ -12,6 +12,7 @@ _HOMES = {
     "p1_pieces": "split",
     "p2_found": "survivors",
     "p2_merged": "survivors",
+    "p4_found": "knn",
     "p5_found": "neardup",
     "p7_found": "history",
     "p8_ids": "encode",
