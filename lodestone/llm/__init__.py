@@ -14,6 +14,8 @@ _HOMES = {
     "p2_merged": "survivors",
     "p4_found": "knn",
     "p5_found": "neardup",
+    "p6_found": "ocr",
+    "p6_paragraphs": "ocr",
     "p7_found": "history",
     "p8_ids": "encode",
     "p9_containers": "pack",
