@@ -12,6 +12,8 @@ _HOMES = {
     "p1_pieces": "split",
     "p2_found": "survivors",
     "p2_merged": "survivors",
+    "p3_found": "pii",
+    "p3_redacted": "pii",
     "p4_found": "knn",
     "p5_found": "neardup",
     "p6_found": "ocr",
