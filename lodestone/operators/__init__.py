@@ -1 +1 @@
-
+"""Relational operators of the engine: DataFrame in, DataFrame out, lazy throughout."""
