@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+
+def _modules() -> list:
+    return [import_module(f"{__name__}.{m}") for m in ("etl",)]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.SQL.items()}
