@@ -6,7 +6,7 @@ from importlib import import_module
 
 
 def _modules() -> list:
-    return [import_module(f"{__name__}.{m}") for m in ("etl",)]
+    return [import_module(f"{__name__}.{m}") for m in ("etl", "retrieval", "operations")]
 
 
 def queries() -> dict:

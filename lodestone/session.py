@@ -22,7 +22,12 @@ def session(app: str = "lodestone", master: str | None = None, **conf: str) -> S
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, once per application; the file server of the driver distributes it."""
+    """Send the package to the executors, once per application; the file server of the driver distributes it.
+
+    Unions do not report their partitioning: where adaptive execution coalesces one side of a join on such a union,
+    Spark 4.1 fails with "Can't zip RDDs with unequal numbers of partitions".
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
