@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_pdf, mime_of, strip
+from ..functions.text import is_pdf, mime_of, squeeze, strip
 
 MOST_BYTES = 100 * 1024 * 1024
 #: Mean confidence from which the first reader of a picture is believed.
@@ -40,7 +40,7 @@ def _replaced(texts: Column, name: str, sign: str) -> Column:
 def html_blocks(html: Column) -> Column:
     """Texts of headings, paragraphs, list items and table cells in the order of the page."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<(?:h[1-6]|p|li|td|th|pre)\b[^>]*>(.*?)</(?:h[1-6]|p|li|td|th|pre)>"), 1)
-    plain = F.transform(found, lambda b: strip(F.regexp_replace(b, "<[^>]*>", " ")))
+    plain = F.transform(found, lambda b: squeeze(F.regexp_replace(b, "<[^>]*>", " ")))
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = _replaced(plain, name, sign)
     return F.filter(plain, lambda b: b != "")
