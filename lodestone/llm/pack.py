@@ -158,7 +158,7 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
 
     offsets = counts.select("c", "size", "salt", (F.sum("n").over(Window.partitionBy("c", "size").orderBy("salt")) - F.col("n")).alias("base"))
     local = F.row_number().over(Window.partitionBy("c", "size", "salt").orderBy("doc_id", "piece_no")) - 1
-    ranked = items.withColumn("r", local).join(offsets, ["c", "size", "salt"]).select("doc_id", "c", "piece_no", "size", (F.col("r") + F.col("base")).alias("rank"))
+    ranked = items.withColumn("r", local).join(offsets.hint("merge"), ["c", "size", "salt"]).select("doc_id", "c", "piece_no", "size", (F.col("r") + F.col("base")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, firsts, each, bins_at = plan.value
