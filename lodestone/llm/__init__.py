@@ -15,6 +15,7 @@ _HOMES = {
     "p3_found": "pii",
     "p3_redacted": "pii",
     "p4_found": "knn",
+    "p4_knn": "knn",
     "p5_found": "neardup",
     "p6_found": "ocr",
     "p6_paragraphs": "ocr",
