@@ -125,8 +125,8 @@ def residue(docs: DataFrame, known: frozenset[str]) -> DataFrame:
 
 
 def known_words(spark: SparkSession, sf_dir: str) -> frozenset[str]:
-    """Words of the glossary, a fixed list of the domain; of a longer list only 50,000 words would be used."""
-    rows = table(spark, sf_dir, "glossary").where("term is not null").select("term").limit(50_000).collect()
+    """Words of the glossary, a fixed list of some hundred terms of the domain."""
+    rows = table(spark, sf_dir, "glossary").where("term is not null").select("term").collect()
     return frozenset(w for r in rows for w in _WORD.findall(r.term.lower()) if len(w) > 2)
 
 
