@@ -100,13 +100,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     wanted = asked.select("term").distinct()
     terms = chunks.select("chunk_id", search_terms(F.col("content")).alias("t"))
     sizes = terms.select("chunk_id", F.size("t").alias("size"))
-    total = sizes.agg(F.count("*").alias("n_all"), F.avg("size").alias("avg"))
+    n_all, avg = (sizes.agg(f).scalar() for f in (F.count("*"), F.avg("size")))
     posted = terms.select("chunk_id", F.size("t").alias("size"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     posted = posted.groupBy("term", "chunk_id", "size").agg(F.count("*").alias("tf"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg")))
-    scored = posted.join(df, "term").join(asked, "term").crossJoin(F.broadcast(total))  # one row of totals
+    idf = F.log(1 + (n_all - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / avg))
+    scored = posted.join(df, "term").join(asked, "term")
     scored = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     seen = secured(chunks.select("chunk_id", "tenant_id", "knowledge_base_id", "access_classification"), queries).select("query_id", "chunk_id")
     return top(scored.join(seen, ["query_id", "chunk_id"]), k)

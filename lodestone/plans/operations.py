@@ -60,8 +60,7 @@ def cache_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors cached for 30 days that are alive at the time of the latest one."""
     v = table(spark, sf_dir, "chunk_vectors").where("chunk_id is not null")
     v = v.groupBy("chunk_id").agg(F.max("created_at").alias("created_at")).withColumn("expires_at", F.col("created_at") + F.expr("interval 30 days"))
-    now = v.agg(F.max("created_at").alias("now"))
-    return tables.alive(v.crossJoin(F.broadcast(now)), F.col("now")).select("chunk_id")
+    return tables.alive(v, v.agg(F.max("created_at")).scalar()).select("chunk_id")
 
 
 def migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
