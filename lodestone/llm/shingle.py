@@ -78,8 +78,8 @@ def enough_words(text: Column) -> Column:
 
 
 #: Nibbles of the minhashes in a sketch, and how many must agree for a pair to be verified. Of 32 nibbles, 4 agree by the
-#: shared key; a pair of likeness 0.65 has 22.8 +- 2.5 in common, one of 0.25 has 12.3 +- 2.4.
-NIBBLES, AGREE = 32, 16
+#: shared key; a pair of likeness 0.6 has 21.5 +- 2.6 in common, one of 0.25 has 12.3 +- 2.4.
+NIBBLES, AGREE = 32, 14
 
 Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
