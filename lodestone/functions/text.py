@@ -10,12 +10,12 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, f"^{SPACE}++|{SPACE}++$", "")
 
 
 def squeeze(text: Column) -> Column:
     """Trimmed, inner runs of white space as one blank."""
-    return F.regexp_replace(strip(text), f"{SPACE}+", " ")
+    return F.trim(F.regexp_replace(text, f"{SPACE}++", " "))
 
 
 def words(text: Column) -> Column:

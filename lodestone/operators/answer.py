@@ -47,8 +47,10 @@ def extractive_answer(evidence: DataFrame, queries: DataFrame) -> DataFrame:
 def ratio(answer: Column, evidence: Column) -> Column:
     """Share of the answer's words of more than three letters that the evidence contains; null if it has none."""
     w = F.filter(search_terms(answer), lambda x: F.length(x) > 3)
-    ev = F.lower(evidence)
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.contains(ev, x))) / F.size(w))
+    # one element arrays bind the words and the lower-cased evidence once, outside the loop over words
+    held = F.array(F.struct(w.alias("w"), F.lower(evidence).alias("ev")))
+    share = F.transform(held, lambda h: F.when(F.size(h["w"]) > 0, F.size(F.filter(h["w"], lambda x: F.contains(h["ev"], x))) / F.size(h["w"])))
+    return F.element_at(share, 1)
 
 
 def grounded(rows: DataFrame) -> DataFrame:

@@ -100,7 +100,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     wanted = asked.select("term").distinct()
     terms = chunks.select("chunk_id", search_terms(F.col("content")).alias("t"))
     sizes = terms.select("chunk_id", F.size("t").alias("size"))
-    n_all, avg = (sizes.agg(f).scalar() for f in (F.count("*"), F.avg("size")))
+    total = sizes.agg(F.struct(F.count("*").alias("n"), F.avg("size").alias("avg"))).scalar()
+    n_all, avg = total["n"], total["avg"]
     posted = terms.select("chunk_id", F.size("t").alias("size"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     posted = posted.groupBy("term", "chunk_id", "size").agg(F.count("*").alias("tf"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
