@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import shuffle_width, slices, table
 
 KINDS = ("paragraph", "line", "sentence", "word", "none")
 _CUTS = (re.compile(r"\r?\n(?:[^\S\n]*\r?\n)+"), re.compile(r"\r?\n"), re.compile(r"\r?\n|(?<=[.!?])\s+"), re.compile(r"\s+"))
@@ -48,6 +48,13 @@ def cut_places(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
         if b - a > step:
             for p in range(a + step, b, step):
                 kind[p] = 4
+    # of the word ends, which are many, one in each fortieth of the limit is enough
+    near, last = max(1, limit // 40), 0
+    for p in sorted(kind):
+        if kind[p] == 3 and p - last < near:
+            del kind[p]
+        else:
+            last = p
     kind[len(text)] = 0
     at = np.array(sorted(p for p in kind if 0 < p <= len(text)), np.int64)
     return at, np.array([kind[p] for p in at.tolist()], np.int64)
@@ -93,7 +100,8 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
 def split_chunks(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
     """(chunk_id, parent_id, section, page_number, piece_no, start, end, piece, cut_kind, boundary) of oversized chunks."""
     large = chunks.where(F.length("content") > limit).select("chunk_id", "parent_id", "section", "page_number", "content")
-    large = large.dropDuplicates(["chunk_id", "content"])
+    # a fixed number of partitions, since adaptive execution would put these few rows into one task
+    large = large.repartition(shuffle_width(chunks.sparkSession), "chunk_id", "content").dropDuplicates(["chunk_id", "content"])
     schema = "chunk_id string, parent_id string, section string, page_number int, piece_no int, start int, end int, piece string, cut_kind string, boundary string"
     names = [f.split()[0] for f in schema.split(", ")]
 
