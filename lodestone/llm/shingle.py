@@ -217,7 +217,7 @@ def candidates(texts: DataFrame, make: Keys, name: str, likeness: float = LIKENE
     over = found.where(F.col("b").isNull()).select(F.col("a").alias("cls")).distinct()
     pairs = found.where(F.col("b").isNotNull())
     if not over.isEmpty():
-        pairs = pairs.unionByName(pairs_of_runs(prefix_keys(texts.join(over, "cls", "left_semi"), likeness), None, 0))
+        pairs = pairs.unionByName(pairs_of_runs(prefix_keys(texts.join(over, "cls", "left_semi").select("scope", "cls", "text"), likeness), None, 0))
     return pairs.distinct()
 
 

@@ -209,6 +209,16 @@ def test_large_buckets_go_the_exact_way(spark):
     assert {(r.a, r.b) for r in shingle.verified(pairs, texts).collect()} == want
 
 
+def test_one_bucket_above_the_cap(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 2]) << 40, 1000 + i, t) for i, t in enumerate(edited(rng, 40))]
+    texts = spark.createDataFrame(rows, "scope bigint, cls bigint, text string")
+    want = {(a, b) for (p, a, s), (q, b, t) in combinations(rows, 2) if p == q and likeness(s, t) >= 0.6}
+    one_key = lambda pairs, starts: (np.zeros((len(starts), 1), np.uint64), np.zeros((len(starts), 2), np.uint64))
+    pairs = shingle.candidates(texts, one_key, "test", cap=16)
+    assert want and {(r.a, r.b) for r in shingle.verified(pairs, texts).collect()} == want
+
+
 def test_runs_over_batches(spark):
     rng = random.Random(9)
     rows = [(rng.randint(0, 12), rng.randint(0, 60), 0, 0) for _ in range(400)]
