@@ -1,7 +1,7 @@
 """Problem 10: template residue and error-page text.
 
-Records are cut into messages (lines and sentences, markup stripped). A fixed-depth prefix tree mines the message
-templates of each partition: the levels are the number of tokens, the first token with numbers and codes masked, and the
+Records are cut into messages (lines and sentences, markup stripped); a message of content is judged by its parts between spaced dashes
+and arrows. A fixed-depth prefix tree mines the message templates of each partition: the levels are the number of tokens, the first token with numbers and codes masked, and the
 cue words that the message holds. A leaf is a template; it is classified once, when it appears, from what its path says,
 and its verdict is propagated to all messages that reach it, so the result doesn't depend on the order of records or
 partitions. A record is residue if it has a residual message and none of content. Unresolved slots inside ordinary
@@ -32,22 +32,29 @@ FUNCTION_WORDS = frozenset(
     " le la les un une est sont sera ne pas et ou si que qui dans sur avec il elle puis tant lorsque cette ce se après avant au aux"
     " el los las una es son está esté se no y o cuando mientras hay debe con por según al lo su antes después que en".split()
 )
+# Articles that menu entries hold too, and what pages that speak of themselves name as their subject.
+ARTICLES = frozenset("der die das le la les l el los las".split())
+PAGE_WORDS = frozenset(
+    "page file item document resource request server site url address viewer browser seite datei dokument anfrage server adresse browser"
+    " fichier ressource demande requête serveur adresse navigateur página archivo documento recurso solicitud servidor dirección navegador".split()
+)
 # What pages say of themselves when they fail, and what they add to it.
 ERROR_CUES = re.compile(
-    r"not found|could not (?:be )?(?:load|open)|(?:temporarily |service )unavailable|access denied|gateway time-?out|bad request|moved or deleted|do not have permission|unexpected error|upstream server|session (?:has )?expired|internal server error|forbidden|nothing to display|too many requests"
+    r"not found|could not (?:be )?(?:load|open)|(?:temporarily |service )unavailable|access denied|gateway time-?out|bad request|internal fault|moved or deleted|do not have permission|unexpected error|upstream server|session (?:has )?expired|internal server error|forbidden|nothing to display|too many requests"
     r"|nicht gefunden|sitzung abgelaufen|zugriff verweigert|nicht (?:verfügbar|erreichbar)|ist ein fehler aufgetreten|konnte nicht geladen|keine berechtigung|derzeit nicht"
     r"|session expirée|indisponible|introuvable|accès refusé|erreur est survenue|non trouvée?|pas disponible"
     r"|no está disponible|no encontrad[ao]|sesión ha caducado|acceso denegado|se produjo un error|no se pudo|no tiene permiso"
     r"|^\W*(?:oops|(?:error|http|status|erreur|fehler|err_)\W*#)\W*$|^\W*(?:error|http|status|err_|erreur|fehler)\W*#"
 )
 SCRIPT_CUES = re.compile(r"javascript|\bjs\b|\bscript(?:s|ing)?\b|\bskripte?\b|(?:checking|vérification|verificando|comprobando|prüf\w+).{0,12}(?:browser|navigateur|navegador)|just a moment|cookies")
-AUX_CUES = re.compile(r"retry|try again|start ?page|startseite|page d'accueil|página de inicio|(?:log|sign) ?in\b|inicie sesión|vous connecter|anmelden|if this continues|später|réessayer|más tarde|(?:trace|request id|ref|id|ray id|incident)\b\W*#|reload|neu laden|contact (?:the|your)|powered by|all rights reserved")
+AUX_CUES = re.compile(r"retry|try again|start ?page|startseite|page d'accueil|página de inicio|retour à l'accueil|volver al inicio|(?:log|sign) ?in\b|inicie sesión|vous connecter|anmelden|if this continues|some content cannot|später|réessayer|más tarde|(?:trace|request id|ref|id|ray id|incident)\b\W*#|reload|neu laden|contact (?:the|your)|powered by|all rights reserved")
 FILLER_CUES = re.compile(r"your text goes here|insert (?:description|text|content|title)|lorem|dolor sit|(?:dummy|sample|placeholder|filler) text|text goes|hier steht ihr text|votre texte ici|su texto aquí|beschreibung einfügen|inserte? (?:la )?descripción|insérer")
 _TAGS = re.compile(r"<[a-zA-Z/!][^<>\n]*>")
 _CUT = re.compile(r"[\r\n|]+|(?<=[.!?])\s+")
+_JOINT = re.compile(r"\s+[-–—>]+(?:\s+|$)")
 _CODED = re.compile(r"\S*\d\S*")
 _WORD = re.compile(r"[^\W\d_]+")
-ERROR_WORDS, SCRIPT_WORDS = 9, 16
+ERROR_WORDS, SCRIPT_WORDS, LONGEST = 9, 16, 24
 
 
 class TemplateTree:
@@ -64,7 +71,10 @@ class TemplateTree:
             return "none"
         cues = tuple(m.group() if (m := c.search(masked)) else "" for c in (ERROR_CUES, SCRIPT_CUES, AUX_CUES, FILLER_CUES))
         own = frozenset(words)
-        shape = (bool(own & FUNCTION_WORDS), bool(own & self.known), "#" in masked, len(own) <= 2, max(map(words.count, own)) > 1 if len(words) < 40 else True)
+        shape = (
+            bool(own & FUNCTION_WORDS), bool(own & self.known), "#" in masked, len(own) <= 2, max(map(words.count, own)) > 1 if len(words) < 40 else True,
+            own & FUNCTION_WORDS <= ARTICLES and masked.rstrip()[-1:] not in ".!?", bool(own & PAGE_WORDS) and not set("\"“”„«»") & set(masked),
+        )
         level = self.root.setdefault(min(len(words), 24), {}).setdefault(words[0] if any(cues) else "", {})
         if (got := level.get((cues, shape))) is None:
             got = level[cues, shape] = self.classify(len(words), cues, shape)
@@ -73,17 +83,21 @@ class TemplateTree:
     @staticmethod
     def classify(n: int, cues: tuple[str, ...], shape: tuple[bool, ...]) -> str:
         error, script, aux, filler = cues
-        sentence, known, coded, few, again = shape
+        sentence, known, coded, few, again, entries, page = shape
+        # a long message is a page's own if it names the page and no other subject
+        own = page and not known and n < LONGEST
         if filler:
             return "filler"
-        if script and n <= SCRIPT_WORDS and not (coded and sentence and n > 6):
+        if script and (n <= SCRIPT_WORDS or own) and not (coded and sentence and n > 6):
             return "script_notice"
-        if error and n <= ERROR_WORDS:
+        if error and (n <= ERROR_WORDS or own):
             return "error_page"
-        if aux and n <= ERROR_WORDS:
+        if aux and (n <= ERROR_WORDS or own):
             return "aux"
         if few and again and n >= 4:
             return "filler"
+        if entries and known:
+            return "menu"
         if sentence and n >= 3:
             return "content"
         if not known and not sentence and n >= 3:
@@ -100,7 +114,9 @@ def classify_text(text: str, tree: TemplateTree) -> str | None:
     found = set()
     for m in _CUT.split(_TAGS.sub("\n", text)):
         if m:
-            found.add(tree.verdict(m))
+            kind = tree.verdict(m)
+            # a page's message and its advice, or menu entries, may be joined by dashes and arrows
+            found.update([kind] if kind != "content" else map(tree.verdict, _JOINT.split(m)))
             if "content" in found:
                 return None
     for kind in ("script_notice", "error_page", "filler"):

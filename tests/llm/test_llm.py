@@ -363,6 +363,18 @@ def test_residue(spark):
     assert got == {i: k for i, _, k in flat if k}
 
 
+def test_residue_of_joined_and_long_messages():
+    tree = residue.TemplateTree(frozenset({"capteur", "pompe", "pump", "drive"}))
+    pages = [
+        "Oops! This item has been moved or deleted - If this continues, tell the portal team.", "(429) Der Dienst ist derzeit nicht erreichbar - Bitte später erneut versuchen.", "THIS ITEM HAS BEEN MOVED OR DELETED - PLEASE RETRY LATER.",
+        "The page that you are looking for was not found on this server.", "le capteur > la pompe\nAccès refusé!\nle capteur > la pompe", "Internal fault in the viewer. Please retry later.",
+    ]
+    assert [residue.classify_text(t, tree) for t in pages] == ["error_page"] * len(pages)
+    assert residue.classify_text("Scripts are blocked by your settings - some content cannot be displayed.", tree) == "script_notice"
+    real = ["Access denied messages at the pump are logged - see the badge reader state.", "Error 404 on the controller means that drive 76 does not answer on the bus - wait.", 'If the page shows "Service unavailable", wait two minutes and press the reset key of the panel.']
+    assert [residue.classify_text(t, tree) for t in real] == [None] * len(real)
+
+
 def test_found_queries(spark, sf):
     from lodestone import llm
 
