@@ -5,8 +5,8 @@ nearest pivots and posted in the inverted files of the first ``POSTED`` of them.
 ranked by the footrule distance of their pivot lists (location parameter ``LENGTH``), and those near enough are reranked
 by their cosine. Lists of the queries and of the index are the same, so a search of all vectors costs one shuffle of
 ``POSTED`` postings a vector. The number of pivots grows with the collection up to ``MOST_PIVOTS``, which keeps the
-inverted files short; a file longer than ``BLOCK`` is read in the order of its pivot lists, each block against itself and
-the block before it. Vectors travel as 16-bit integers with a scale, which keeps cosines to about five digits.
+inverted files short; a file longer than ``BLOCK`` is read in blocks, each against itself and all blocks before it, and a
+file of more than ``MOST_BLOCKS`` is cut into salted cells of which every two meet in one task. Vectors travel as 16-bit integers with a scale, which keeps cosines to about five digits.
 
 Defined cases: a vector that is null, all zero, not of 64 components or with a component that is null or no finite
 number is left out; equal vectors under several chunk ids are searched once and all count; a chunk stored twice counts
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_width, table
+from .common import shuffle_width, stored, table
 
 SIZE, LENGTH, POSTED = 64, 8, 4
-ROWS_A_PIVOT, MOST_PIVOTS, BLOCK = 104, 8192, 2048
+ROWS_A_PIVOT, MOST_PIVOTS, BLOCK, MOST_BLOCKS = 104, 8192, 2048, 64
+#: Classes of which a task that posts remembers that they are posted.
+SEEN = 200_000
 #: Of 36 points of agreement of two pivot lists, this many make a candidate.
 AGREEMENT = 6
 PAYLOAD = 2 * LENGTH + 4 + 2 * SIZE
@@ -63,9 +65,20 @@ def postings(own: DataFrame, base: np.ndarray, posted: int = POSTED) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
+                fresh = []
+                for i, c in enumerate(b.column(0).to_pylist()):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                if not fresh:
+                    continue
+                b = b.take(pa.array(fresh)) if len(fresh) < b.num_rows else b
                 x = matrix(b.column(1))
                 near = x.astype(np.float32) @ p.T
                 top = np.argpartition(-near, length - 1, axis=1)[:, :length] if length < len(p) else np.tile(np.arange(len(p)), (len(x), 1))
@@ -115,8 +128,8 @@ def payloads(data: pa.Array) -> np.ndarray:
     return np.frombuffer(data.buffers()[2], np.uint8, count=len(data) * PAYLOAD, offset=start).reshape(-1, PAYLOAD)
 
 
-def neighbours(posted: DataFrame, least: float, agree: int = AGREEMENT) -> DataFrame:
-    """(a, b, cosine) of different classes found in one inverted file, each pair both ways."""
+def neighbours(posted: DataFrame, least: float, agree: int = AGREEMENT, blocks: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine) of different classes found in one inverted file, each pair both ways; (pivot, null, null) for the files of more than ``blocks``."""
 
     def within(rows: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
         cls, perm, x = rows
@@ -136,13 +149,17 @@ def neighbours(posted: DataFrame, least: float, agree: int = AGREEMENT) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        last, size, before = None, 0, None
+        before: list[tuple[np.ndarray, ...]] = []
+        last, previous, size, over = None, None, 0, False
 
         def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
             rows = unpack(*(np.concatenate(c) for c in zip(*held)))
             yield from within(rows, None)
-            if before is not None:
-                yield from within(rows, before)
+            for other in before:
+                yield from within(rows, other)
+            before.append(rows)
 
         for b in batches:
             if not b.num_rows:
@@ -154,22 +171,49 @@ def neighbours(posted: DataFrame, least: float, agree: int = AGREEMENT) -> DataF
             for e in ends:
                 if last is not None and key[s] != last:
                     yield from close()
-                    held, size, before = [], 0, None
+                    held, before, size, previous, over = [], [], 0, None, False
                 last = key[s]
-                for at in range(s, e, BLOCK):
-                    n = min(BLOCK, e - at)
-                    if size + n > BLOCK and size:
+                # copies of a class stand side by side and count once
+                own = np.flatnonzero(np.concatenate(([previous is None or cls[s] != previous], cls[s + 1 : e] != cls[s : e - 1]))) + s
+                previous = cls[e - 1]
+                while len(own) and not over:
+                    if size == block:
                         yield from close()
-                        before = unpack(*(np.concatenate(c) for c in zip(*held)))
                         held, size = [], 0
-                    held.append((payload[at : at + n].copy(), cls[at : at + n]))
-                    size += n
+                        if blocks and len(before) >= blocks:
+                            over = True
+                            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())], ["a", "b", "cosine"])
+                            break
+                    some, own = own[: block - size], own[block - size :]
+                    held.append((payload[some], cls[some]))
+                    size += len(some)
                 s = e
-        if held:
-            yield from close()
+        yield from close()
 
     n = shuffle_width(posted.sparkSession)
-    return posted.repartition(n, "pivot").sortWithinPartitions("pivot", "payload").mapInArrow(run, "a bigint, b bigint, cosine double")
+    key = posted.columns[0]
+    return posted.repartition(n, key).sortWithinPartitions(key, "payload", "cls").mapInArrow(run, "a bigint, b bigint, cosine double")
+
+
+def cells(posted: DataFrame, long: DataFrame, rows_a_cell: int) -> DataFrame:
+    """(key, payload, cls): the files ``long`` (pivot) cut into cells by class, one key for every two cells of a file."""
+    own = posted.join(F.broadcast(long), "pivot")
+    many = own.groupBy("pivot").agg(F.ceil(F.count("*") / rows_a_cell).alias("m"))
+    cell = own.join(F.broadcast(many), "pivot").withColumn("i", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("m")))
+    cell = cell.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    # a cell meets itself with each of the others, and alone if there is no other
+    cell = cell.where((F.col("i") != F.col("j")) | (F.col("m") == 1))
+    return cell.select(F.xxhash64("pivot", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "payload", "cls")
+
+
+def compared(posted: DataFrame, least: float, agree: int = AGREEMENT, blocks: int = MOST_BLOCKS, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine) of all pairs of classes of each inverted file (pivot, payload, cls), however long."""
+    found = stored(neighbours(posted, least, agree, blocks, block), "p4-candidates")
+    long = found.where(F.col("b").isNull()).select(F.col("a").cast("int").alias("pivot"))
+    pairs = found.where(F.col("b").isNotNull())
+    if not long.isEmpty():
+        pairs = pairs.unionByName(neighbours(cells(posted, long, max(1, blocks * block // 4)), least, agree, None, block))
+    return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def expanded(own: DataFrame, found: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
@@ -193,7 +237,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = -1.0, agree: int = A
     schema = "chunk_id string, neighbour_id string, rank int, cosine double"
     if not len(base):
         return vectors.sparkSession.createDataFrame([], schema)
-    found = neighbours(postings(own, base), least, agree).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    found = compared(postings(own, base), least, agree)
     return expanded(own, found, k)
 
 

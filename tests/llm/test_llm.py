@@ -168,6 +168,22 @@ def test_nearest_by_brute_force(spark):
     assert knn.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [64, 2])
+def test_long_files_are_compared_whole(spark, blocks):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 64)) + 2.0
+    x[60:] = x[:30] + rng.normal(size=(30, 64)) * 0.05
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    own = spark.createDataFrame(rows + rows[:1] * 200, "cls bigint, vector array<float>")
+    base = np.eye(64, dtype=np.float32)[:1]
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.9)) if i != j}
+    found = knn.compared(knn.postings(own, base), 0.9, 1, blocks, 8)  # one file of 12 blocks
+    got = [(r.a, r.b) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 60
+
+
 def test_equal_vectors(spark):
     df = spark.createDataFrame([(f"c{i:02}", [1.0] * 64) for i in range(15)], "chunk_id string, vector array<float>")
     got = {(r.chunk_id, r.neighbour_id) for r in knn.nearest(df, 2, 0.85).collect()}
