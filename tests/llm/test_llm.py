@@ -134,6 +134,13 @@ def test_pii_types(spark):
     assert got == want
 
 
+def test_names_of_few_mentions_in_a_large_corpus(spark):
+    rows = [("a", "Mr Ostrevant"), ("b", "Dagny OSTREVANT"), ("c", "Dagny MARCHETANE"), ("d", "Frau Marchetane")]
+    small = chunks(spark, rows)
+    large = small.unionByName(small.limit(1).withColumn("content", F.repeat(F.lit("0"), F.lit(130_000_000))))
+    assert pii.lexicons(large) == pii.lexicons(small) == (frozenset({"ostrevant", "marchetane"}), frozenset({"dagny"}))
+
+
 def test_surrogates(spark):
     rows = [("a", "Call 555-555-0155, Mr Torrelmo."), ("b", "Call 555-555-0155 or 555-555-0156, Mr Torrelmo."), ("c", None), ("d", "none")]
     got = {r.chunk_id: r for r in pii.redacted(chunks(spark, rows), b"k").collect()}
