@@ -116,6 +116,26 @@ def test_consensus_votes():
     assert "".join(survivors.consensus(["x y", "x z"], [1, 5])) == "x z"
 
 
+def test_merged_record_has_all_fields(spark):
+    u = [f"0000000{i}-0000-4000-8000-00000000000{i}" for i in range(4)]
+    rows = [(1, u[1], None, 1, 5, "old words", 7, "COMPLETED", "h1"), (2, u[2], u[1], 2, 6, "new words", None, " ", None), (3, u[3], u[1], 2, 7, None, None, None, "h3")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, id string, canonical_document_id string, version int, created_at int, text string, page_count int, status string, content_hash string")
+    docs = docs.withColumn("created_at", F.timestamp_seconds("created_at")).withColumns({c: F.lit(None).cast("string") for c in ("supersedes", "file_name", "lang", "industry", "source", "metadata")})
+    record = survivors.best_records(docs)[1]
+    got = record.collect()
+    assert [(r.survivor_doc_id, r.text, r.version, r.page_count, r.status, r.content_hash) for r in got] == [(3, "new words", 2, 7, "COMPLETED", "h3")]
+    assert dict(record.dtypes)["page_count"] == "int" and dict(record.dtypes)["created_at"] == "timestamp"
+
+
+def test_long_values_vote_by_tokens():
+    text = lambda a, b, c: f"The pump {a} was checked by {b} and then {c} again. " + "Nothing else was found in the plant. " * 20 + "The end."
+    assert "".join(survivors.consensus([text("P1", "Ann", "run"), text("P1", "Bob", "cut"), text("P2", "Bob", "run")], [1, 1, 1])) == text("P1", "Bob", "run")
+    x, y = survivors._pieces(text("P1", "Ann", "run")), survivors._pieces(text("P2", "Bob extra", "cut") + "More.\n" * 90)
+    ops = list(survivors.aligned(x, y))
+    assert all(x[a:b] == y[c:d] for op, a, b, c, d in ops if op == "equal") and ops[0][1] == ops[0][3] == 0 and (ops[-1][2], ops[-1][4]) == (len(x), len(y))
+    assert all(p[2] == q[1] and p[4] == q[3] for p, q in zip(ops, ops[1:]))
+
+
 # 3 personal information
 
 
