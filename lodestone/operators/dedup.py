@@ -94,6 +94,18 @@ def band_pairs(sigs: DataFrame, key: str, agree: float = 0.8) -> DataFrame:
     return near.select("a", "b", "agreement").distinct()
 
 
+def near_members(sigs: DataFrame, key: str, agree: float = 0.8) -> DataFrame:
+    """(a, b, agreement, kind): all links of records by signature, without a pair for every two copies.
+
+    ``near``: a and b are the representatives of two classes of equal signatures; ``member``: b is a member of the class
+    that a represents. The near records of any record are those of its class and of the classes near to it.
+    """
+    near = band_pairs(sigs, key, agree).withColumn("kind", F.lit("near"))
+    reps = sigs.groupBy("sig").agg(F.min(key).alias("a"))
+    member = sigs.join(reps, "sig").select("a", F.col(key).alias("b")).where("a <> b").distinct()
+    return near.unionByName(member.select("a", "b", F.lit(1.0).alias("agreement"), F.lit("member").alias("kind")))
+
+
 def version_class(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, classification): what an arriving record is against the earlier records of its tenant.
 

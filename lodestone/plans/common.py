@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: ``df`` written to the folder all executors share and read back, so that it is computed once."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-plan-")
+    path = f"{root.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunks_once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Chunks with each chunk_id once, as stored last."""
     rows = table(spark, sf_dir, "chunks").where("chunk_id is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, dedup, embed, metadata, tables
 from ..sources import files
-from .common import CHUNKS_ONCE, chunks_once, table
+from .common import CHUNKS_ONCE, chunks_once, kept, table
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 STRIP = rf"regexp_replace(%s, '^{WS}+|{WS}+$', '', 'g')"
@@ -75,8 +75,9 @@ def metadata_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs of the representatives of equal signatures, and the members of each class."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return dedup.band_pairs(dedup.minhash(docs, "doc_id", "text"), "doc_id").select("a", "b", F.round("agreement", 6).alias("agreement"))
+    return dedup.near_members(kept(dedup.minhash(docs, "doc_id", "text"), "signatures"), "doc_id").select("a", "b", F.round("agreement", 6).alias("agreement"), "kind")
 
 
 def version_classification(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,33 @@ def test_boxes(spark):
     assert one(spark, chunking.box_union(F.array(F.array(F.lit(0.0))))) is None
 
 
+def near_texts():
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(120)) for _ in range(6)]
+    rows = [t for b in base for t in (b, b.upper(), f"  {b} ", b + " end", b.replace("w1", "v1", 2))]
+    return [*rows, "alone", "Alone"]
+
+
+def links(rows):
+    """Every pair of keys linked by rows (a, b, kind)."""
+    rep = {r.b: r.a for r in rows if r.kind == "member"}
+    members: dict = {}
+    for r in rows:
+        for x in (r.a, r.b):
+            members.setdefault(rep.get(x, x), set()).add(x)
+    near = [(r.a, r.b) for r in rows if r.kind == "near"] + [(m, m) for m in members]
+    return {(min(x, y), max(x, y)) for a, b in near for x in members[a] for y in members[b] if x != y}
+
+
+def test_near_members_by_brute_force(spark):
+    texts = near_texts()
+    sig = dedup.minhash(spark.createDataFrame(list(enumerate(texts)), "k bigint, t string"), "k", "t")
+    sigs = {r.k: r.sig for r in sig.collect()}
+    band = lambda s: {(i, *s[i : i + 8]) for i in range(0, 64, 8)}
+    want = {(a, b) for a in sigs for b in sigs if a < b and sum(p == q for p, q in zip(sigs[a], sigs[b])) / 64 >= 0.8 and band(sigs[a]) & band(sigs[b])}
+    assert links(dedup.near_members(sig, "k").collect()) == want and (30, 31) in want and (0, 2) in want
+
+
 def test_minhash_pairs(spark):
     rows = [("a", "Hydraulic pressure specification for main pump model X100 is 250 bar."), ("b", "Hydraulic pressure spec for main pump model X100 is 250 bar."), ("c", "Electrical wiring diagram for safety switch relay.")]
     sig = dedup.minhash(spark.createDataFrame(rows, "k string, t string"), "k", "t")
