@@ -106,11 +106,30 @@ def near_members(sigs: DataFrame, key: str, agree: float = 0.8) -> DataFrame:
     return near.unionByName(member.select("a", "b", F.lit(1.0).alias("agreement"), F.lit("member").alias("kind")))
 
 
-def version_class(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+def near_earlier(docs: DataFrame, sigs: DataFrame, agree: float = 0.8) -> DataFrame:
+    """(doc_id, near, near_same): whether a record has a near one of its tenant in an earlier batch, and one of its file name.
+
+    Classes of equal signatures meet, not their members: of each the first batch by tenant (and file name) is enough.
+    """
+    reps = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    own = sigs.join(reps, "sig").select("doc_id", "rep").join(docs.select("doc_id", "tenant_id", "batch_no", "file_name"), "doc_id")
+    pairs = band_pairs(sigs, "doc_id", agree).select("a", "b")
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+
+    def first(*by: str, name: str) -> DataFrame:
+        held = own.groupBy(F.col("rep").alias("b"), *by).agg(F.min("batch_no").alias(name))
+        return ways.join(held, "b").groupBy(F.col("a").alias("rep"), *by).agg(F.min(name).alias(name))
+
+    out = own.join(first("tenant_id", name="n0"), ["rep", "tenant_id"]).join(first("tenant_id", "file_name", name="n1"), ["rep", "tenant_id", "file_name"], "left")
+    return out.select("doc_id", (F.col("n0") < F.col("batch_no")).alias("near"), F.coalesce(F.col("n1") < F.col("batch_no"), F.lit(False)).alias("near_same"))
+
+
+def version_class(docs: DataFrame, chunks: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(doc_id, classification): what an arriving record is against the earlier records of its tenant.
 
     In this order: EXACT_DUP (file digest), CONTENT_DUP (normalised text), UPDATED_VERSION (chunks shared, same file
-    name), PARTIAL_CHANGE (chunks shared), NEW. Earlier means a smaller batch.
+    name), PARTIAL_CHANGE (chunks shared), NEW. Earlier means a smaller batch. With ``near`` (doc_id, near, near_same) the
+    whole rule: near records of the same file name make UPDATED_VERSION too, others NEAR_DUP before PARTIAL_CHANGE.
     """
     own = docs.where("text is not null").select("doc_id", "id", "tenant_id", "batch_no", "file_name", "sha256", content_hash(F.col("text")).alias("ch"))
     first = lambda c: own.where(F.col(c).isNotNull()).groupBy("tenant_id", c).agg(F.min("batch_no").alias(f"first_{c}"))
@@ -123,5 +142,10 @@ def version_class(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     shared = shared.groupBy("doc_id").agg(F.max((F.col("b0") < F.col("batch_no")).cast("int")).alias("part"), F.max(F.coalesce((F.col("b1") < F.col("batch_no")).cast("int"), F.lit(0))).alias("same"))
     out = base.join(shared, "doc_id", "left")
     label = F.when(F.col("first_sha256") < F.col("batch_no"), "EXACT_DUP").when(F.col("first_ch") < F.col("batch_no"), "CONTENT_DUP")
-    label = label.when(F.col("same") == 1, "UPDATED_VERSION").when(F.col("part") == 1, "PARTIAL_CHANGE").otherwise("NEW")
+    label = label.when(F.col("same") == 1, "UPDATED_VERSION")
+    if near is not None:
+        out = out.join(near, "doc_id", "left")
+        # a near or partly equal record under the same file name is a new version of it
+        label = label.when(F.col("near_same"), "UPDATED_VERSION").when(F.col("near"), "NEAR_DUP")
+    label = label.when(F.col("part") == 1, "PARTIAL_CHANGE").otherwise("NEW")
     return out.select("doc_id", label.alias("classification"))

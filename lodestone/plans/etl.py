@@ -84,6 +84,13 @@ def version_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.version_class(table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"))
 
 
+def version_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule of version classes, NEAR_DUP included; ``version_classification`` has the levels that its SQL has."""
+    docs = table(spark, sf_dir, "documents")
+    sigs = kept(dedup.minhash(docs.where("text is not null"), "doc_id", "text"), "signatures")
+    return dedup.version_class(docs, table(spark, sf_dir, "chunks"), dedup.near_earlier(docs, sigs))
+
+
 VERSION_SQL = f"""WITH own AS (SELECT doc_id, id, tenant_id, batch_no, file_name, sha256, sha256(CAST({SQUEEZE % 'lower(text)'} AS VARCHAR)) AS ch FROM documents WHERE text IS NOT NULL),
 f1 AS (SELECT tenant_id, sha256, min(batch_no) AS b FROM own WHERE sha256 IS NOT NULL GROUP BY ALL), f2 AS (SELECT tenant_id, ch, min(batch_no) AS b FROM own GROUP BY ALL),
 parts AS (SELECT DISTINCT c.content_hash, o.tenant_id, o.batch_no, o.file_name, o.doc_id FROM chunks c JOIN own o ON c.document_id = o.id WHERE c.parent_id IS NOT NULL AND c.content_hash IS NOT NULL),
@@ -192,7 +199,7 @@ def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("path", F.lit("").alias("reason")).unionByName(bad.select("path", "reason"))
 
 
-QUERIES = {f.__name__: f for f in (content_hash_dups, file_hash_dups, parent_chunks, child_chunks, chunk_type_counts, page_counts, chunk_partition, metadata_enrich, minhash_near, version_classification, pii_redact, token_estimates, embed_cache_hits, embed_new, box_unions, upsert_chunks, html_parse, vision_json, media_chunks, ocr_gate, file_checks)}
+QUERIES = {f.__name__: f for f in (content_hash_dups, file_hash_dups, parent_chunks, child_chunks, chunk_type_counts, page_counts, chunk_partition, metadata_enrich, minhash_near, version_classification, version_levels, pii_redact, token_estimates, embed_cache_hits, embed_new, box_unions, upsert_chunks, html_parse, vision_json, media_chunks, ocr_gate, file_checks)}
 _HINTS = ",".join(metadata.MANUFACTURING["entity_types"])
 SQL = {
     "content_hash_dups": TWIN % HASHED,

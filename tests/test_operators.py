@@ -93,6 +93,22 @@ def test_near_members_by_brute_force(spark):
     assert links(dedup.near_members(sig, "k").collect()) == want and (30, 31) in want and (0, 2) in want
 
 
+def test_near_versions_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, f"id{i}", rng.choice("tu"), rng.randint(1, 4), rng.choice(["f", "g", None]), f"s{i}", t) for i, t in enumerate(near_texts())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, id string, tenant_id string, batch_no int, file_name string, sha256 string, text string")
+    sig = dedup.minhash(docs, "doc_id", "text")
+    linked = links(dedup.near_members(sig, "doc_id").collect())
+    none = spark.createDataFrame([], "document_id string, parent_id string, content_hash string")
+    plain = {r.doc_id: r.classification for r in dedup.version_class(docs, none).collect()}
+    want = {}
+    for x in rows:
+        old = [y for y in rows if (min(x[0], y[0]), max(x[0], y[0])) in linked and y[2] == x[2] and y[3] < x[3]]
+        want[x[0]] = plain[x[0]] if plain[x[0]] != "NEW" or not old else "UPDATED_VERSION" if any(y[4] == x[4] and x[4] for y in old) else "NEAR_DUP"
+    got = dedup.version_class(docs, none, dedup.near_earlier(docs, sig)).collect()
+    assert {r.doc_id: r.classification for r in got} == want and len(got) == len(rows) and {"NEAR_DUP", "UPDATED_VERSION", "NEW"} <= set(want.values())
+
+
 def test_minhash_pairs(spark):
     rows = [("a", "Hydraulic pressure specification for main pump model X100 is 250 bar."), ("b", "Hydraulic pressure spec for main pump model X100 is 250 bar."), ("c", "Electrical wiring diagram for safety switch relay.")]
     sig = dedup.minhash(spark.createDataFrame(rows, "k string, t string"), "k", "t")
