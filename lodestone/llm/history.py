@@ -1,11 +1,10 @@
-"""Problem 7: new batches against everything already accepted, by a prefix-tree hash forest.
+"""Problem 7: new batches against everything already accepted, by banding.
 
-Each text gets ``TREES`` labels of ``DEPTH`` minhashes. A tree is the sorted sequence of its labels, kept as runs: one
-run per batch, written sorted by (tree, tenant, label) and merged when there are many. Looking a batch up is a range
-search: at depth d, the earlier labels with the same first d hashes form one range of the sorted run. Prefixes are
-widened from the full label until the expected recall at the likeness asked for reaches the target; all shorter
-prefixes' ranges contain the longer ones', so one pass at the final depth finds the same pairs. Candidates are verified
-exactly on the whole texts. A new batch reads the sorted labels, never the texts, of the history.
+Each text gets ``TREES`` keys, each the hash of the first minhashes of a label of ``DEPTH``; the number of them is fixed by
+the recall wanted at the likeness asked for. ``p7_found`` has all batches at hand and joins the keys of the whole table in
+one shuffle, which finds the pairs that looking up batch after batch would find; the texts of all records are processed.
+``HashForest`` keeps the same keys in stored runs, one a batch, so that a new batch reads the keys, never the texts, of
+the history; it scans all runs. Candidates are verified exactly on the whole texts.
 
 Defined cases: null tenants, batches and texts take part in nothing; texts of fewer than 40 words match by file digest
 only; digests count as equal in any letter case, with blanks around or the prefix ``sha256:``; anything that is not 64
@@ -70,7 +69,7 @@ def _earlier(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
 def repeats(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """(earlier, later): for the records of every batch the accepted earlier records that they repeat.
 
-    All batches are replayed in one merge of their sorted runs: the same pairs as looking batch after batch up.
+    All batches meet in one shuffle on the band keys: the same pairs as looking batch after batch up.
     """
     own = records(docs)
     light = own.where(F.col("text").isNotNull() & enough_words(F.col("text"))).select("doc_id", "cls", "batch_no", "accepted")
@@ -86,7 +85,7 @@ def repeats(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
 
 
 class HashForest:
-    """The forest as a stored index: sorted runs of (tree key, class, sketch, batch) that grow batch by batch."""
+    """The band keys as a stored index: runs of (tree key, class, sketch, batch) that grow batch by batch."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, likeness: float = LIKENESS) -> None:
         self.spark, self.likeness = spark, likeness
