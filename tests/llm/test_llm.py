@@ -294,22 +294,50 @@ def test_history_by_brute_force(spark):
     assert history.repeats(docs.limit(0)).count() == 0
 
 
+def forest_rows(spark, seed):
+    rows, docs = docs_in_batches(spark, seed)
+    own = history.labelled(history.records(docs.where("batch_no is not null and tenant_id is not null")))
+    of = {r.doc_id: r.cls for r in own.select("doc_id", "cls").collect()}
+    return [r for r in rows if r[1] and r[2] and of[r[0]] is not None], own, of
+
+
 def test_forest_grows_batch_by_batch(spark):
-    rows, _ = docs_in_batches(spark, 12)
-    own = [(0, r[0], r[5], r[2] or 1) for r in rows if r[5]]
-    every = spark.createDataFrame(own, "scope bigint, cls bigint, text string, b int")
+    rows, own, of = forest_rows(spark, 12)
     forest, got = history.HashForest(spark), set()
     for b in range(1, 5):
-        new = every.where(F.col("b") == b).drop("b")
-        got |= {(r.old, r.new) for r in forest.search(new).collect() if r.old != r.new}
+        new = history.entries(own.where(F.col("batch_no") == b))
+        got |= {(r.old, r.new) for r in forest.search(new).collect()}
+        assert b == 1 or forest.read_bytes > 0
         forest.append(new)
-        if b == 3:
-            forest.compact()
-    want = {(x[1], y[1]) for x in own for y in own if x[3] < y[3] and likeness(x[2], y[2]) >= 0.6}
-    assert want <= got
+    assert forest.runs() == [(0, 3)]  # four runs of one batch each became one
+    want = {(of[x[0]], of[y[0]]) for x in rows for y in rows if x[1] == y[1] and x[2] < y[2] and x[5] != y[5] and likeness(x[5], y[5]) >= 0.6}
+    assert len(want - got) <= 0.02 * len(want)
     assert history.depth_for(0.6) == 3 and history.depth_for(0.99) == history.DEPTH
 
 
+def test_forest_opened_again_and_widened(spark):
+    rows, own, of = forest_rows(spark, 13)
+    forest = history.HashForest(spark)
+    forest.append(history.entries(own.where("batch_no <= 2")))
+    new = history.entries(own.where("batch_no > 2"))
+    again = history.HashForest(spark, forest.path)
+    got = {tuple(r) for r in again.search(new).collect()}
+    assert again.runs() == forest.runs() and got == {tuple(r) for r in forest.search(new).collect()}
+    narrow = {tuple(r) for r in again.search(new, 0.95).collect()}
+    assert narrow <= got and narrow  # whole labels are stored, so any depth can be asked
+    # a run that was not finished is none
+    fs, at = forest._folder("run-000001-000001")
+    fs.mkdirs(at)
+    assert again.runs() == [(0, 0)]
+    few = dict(BITS_A_NODE=history.BITS_A_NODE, MOST_BITS=history.MOST_BITS)
+    try:
+        history.BITS_A_NODE, history.MOST_BITS = 1 << 9, 1 << 16  # several passes, each over its own trees
+        assert got == {tuple(r) for r in again.search(new).collect()}
+    finally:
+        for k, v in few.items():
+            setattr(history, k, v)
+
+
 # 6 scanned pages
 
 
