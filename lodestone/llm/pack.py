@@ -8,7 +8,7 @@ The plan is made from the histogram of sizes alone, whose length is bounded by t
 size s, those of rank r to r' go q at a time into containers b, b+1, ...". A run ends when a size or a class of equal
 gaps is used up, and a touched gap shrinks to less than half, so there are O(capacity * log capacity) runs however many
 items there are. Items find their container by their rank among the items of their size; ranks are taken within salted
-groups plus an offset, so that a size shared by a third of all rows is never one group.
+groups plus an offset, so that a size shared by a third of all rows is never one group; the salts grow with the rows.
 
 Defined cases: a null or empty text has 0 tokens, takes no room and is dealt over the containers in turn; a text above
 the capacity is cut into full pieces and a rest (piece_no 0, 1, ...), all others are whole (piece_no 0); limits that are
@@ -31,8 +31,31 @@ from .common import stored, table
 from .encode import token_sizes
 
 Run = tuple[int, int, int, int, int]
-SALTS = 64
-_RANK_BITS = 40
+#: Least number of salts, and how many texts a salt is for.
+SALTS, ROWS_A_SALT = 64, 2_000_000
+Plan = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def arranged(runs: list[Run]) -> Plan:
+    """Runs to look items up in: sizes, the place of the first item of each, and of each run its first place, rank, items a container and container.
+
+    The place of an item is its rank plus the number of all smaller items, so one sorted list holds the runs of all sizes.
+    """
+    runs = sorted(runs)
+    sizes, first = np.unique(np.array([r[0] for r in runs], np.int64), return_index=True)
+    held = np.array([r[2] for r in runs], np.int64)
+    places = np.concatenate(([0], np.cumsum(held)))[:-1].astype(np.int64)
+    return sizes, places[first], places, *(np.array([r[k] for r in runs], np.int64) for k in (1, 3, 4))
+
+
+def placed(plan: Plan, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The container of each item of its size and rank among the items of that size."""
+    sizes, start, places, firsts, each, bins_at = plan
+    if not len(sizes):
+        return np.zeros(len(size), np.int64)
+    k = np.minimum(np.searchsorted(sizes, size), len(sizes) - 1)
+    at = np.searchsorted(places, start[k] + rank, side="right") - 1
+    return bins_at[at] + (rank - firsts[at]) // each[at]
 
 
 def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int]:
@@ -134,39 +157,35 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
     schema = f"container string, doc_id {kind}, piece_no int, n_tokens int, bin_no bigint"
     if not caps:
         return spark.createDataFrame([], schema)
+    salts = max(SALTS, sizes.count() // ROWS_A_SALT)
     limit = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.lit(c).alias("cap")) for k, c in caps.items()])).alias("l")
     items = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n"), limit).select("doc_id", "n", "l.c", "l.cap")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("cap"))).cast("int")
     items = items.select("doc_id", "c", "n", "cap", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_no"))
-    items = items.select("doc_id", "c", "piece_no", F.least(F.col("cap"), F.col("n") - F.col("piece_no") * F.col("cap")).alias("size"), F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int").alias("salt"))
+    items = items.select("doc_id", "c", "piece_no", F.least(F.col("cap"), F.col("n") - F.col("piece_no") * F.col("cap")).alias("size"), F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int").alias("salt"))
 
     counts = items.groupBy("c", "size", "salt").agg(F.count("*").alias("n"))
     histogram: dict[int, dict[int, int]] = {k: {} for k in caps}
     for r in counts.groupBy("c", "size").agg(F.sum("n").alias("n")).toLocalIterator():  # at most capacity + 1 rows a container
         histogram[r.c][r.size] = r.n
-    keys, firsts, each, bins_at, totals = [], [], [], [], {}
+    plans, total = {}, {}
     for k, cap in caps.items():
-        runs, totals[k] = plan_runs(histogram[k], cap)
-        for s, rank, _, q, first in runs:
-            keys.append(((k << 20 | s) << _RANK_BITS) + rank)
-            firsts.append(rank)
-            each.append(q)
-            bins_at.append(first)
-    order = np.argsort(np.array(keys, np.int64), kind="stable")
-    plan = spark.sparkContext.broadcast(tuple(np.array(x, np.int64)[order] for x in (keys, firsts, each, bins_at)))
-    names, total = [n for n, _ in limits], [totals[k] for k in caps]
+        runs, total[k] = plan_runs(histogram[k], cap)
+        plans[k] = arranged(runs)
+    plan = spark.sparkContext.broadcast(plans)
+    names = [n for n, _ in limits]
 
     offsets = counts.select("c", "size", "salt", (F.sum("n").over(Window.partitionBy("c", "size").orderBy("salt")) - F.col("n")).alias("base"))
     local = F.row_number().over(Window.partitionBy("c", "size", "salt").orderBy("doc_id", "piece_no")) - 1
     ranked = items.withColumn("r", local).join(offsets.hint("merge"), ["c", "size", "salt"]).select("doc_id", "c", "piece_no", "size", (F.col("r") + F.col("base")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, firsts, each, bins_at = plan.value
         for b in batches:
             c, size, rank = (b.column(i).to_numpy().astype(np.int64) for i in (1, 3, 4))
-            at = np.maximum(np.searchsorted(keys, ((c << 20 | size) << _RANK_BITS) + rank, side="right") - 1, 0)
-            bins = bins_at[at] + (rank - firsts[at]) // each[at] if len(keys) else np.zeros(len(c), np.int64)
-            bins = np.where(size == 0, rank % np.maximum(1, np.array(total))[c], bins)
+            bins = np.zeros(len(c), np.int64)
+            for k in np.unique(c).tolist():
+                own = np.flatnonzero(c == k)
+                bins[own] = np.where(size[own] == 0, rank[own] % max(1, total[k]), placed(plan.value[k], size[own], rank[own]))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names, object)[c], pa.string()), b.column(0), b.column(2), pa.array(size.astype(np.int32)), pa.array(bins)], ["container", "doc_id", "piece_no", "n_tokens", "bin_no"])
 
     return ranked.mapInArrow(place, schema)

@@ -46,22 +46,69 @@ def edited(rng, n=40, vocabulary=400):
 # 1 splitting
 
 
+def coarsest(text, limit):
+    """Brute force: the coarsest kind at which all trimmed segments are within the limit."""
+    for kind, cut in zip(split.KINDS, split._CUTS):
+        if all(len(s.strip()) <= limit for s in cut.split(text)):
+            return kind
+    return "none"
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pieces(seed):
     rng = random.Random(seed)
     for _ in range(60):
-        text = "".join(rng.choice(["ab", ". ", "\n", "\n\n", " ", "x" * 70, "! ", "\r\n", " "]) for _ in range(rng.randint(1, 400)))
-        limit, overlap = rng.choice([30, 60, 100]), rng.choice([0, 7])
-        got = split.split(text, limit, overlap)
+        text = "".join(rng.choice(["ab", ". ", "\n", "\n\n", " ", "x" * 70, "! ", "\r\n", " ", "\u2003"]) for _ in range(rng.randint(1, 400)))
+        limit, overlap = rng.choice([30, 60, 100]), rng.choice([0, 7, 20, 29])
+        kind, got = split.split(text, limit, overlap)
+        assert kind == coarsest(text, limit)
         assert got[0][0] == 0 and got[-1][1] == len(text) and all(e - s <= limit for s, e, _ in got)
         assert all(b[0] == a[1] - (overlap if len(got) > 1 else 0) and b[1] > a[1] for a, b in zip(got, got[1:]))
 
 
+def least_cost(text, limit, overlap):
+    """Brute force over all ways to cut a short text: the least worst kind, then the least cost."""
+    at, kinds = split.cut_places(text, limit, overlap)
+    at, kinds = at.tolist(), kinds.tolist()
+    share = -(-(len(text) - overlap) // (limit - overlap))
+    even = (len(text) - overlap) / share + overlap
+    best = {}
+
+    def go(start, after, worst, cost):
+        for p, k in zip(at, kinds):
+            if p > after and p - start <= limit:
+                last = p == len(text)
+                c = cost + ((p - start - even) / limit) ** 2 * 4 + (0 if last else split.PENALTY[k])
+                w = worst if last else max(worst, k)
+                if last:
+                    best[w] = min(best.get(w, 1e9), c)
+                elif p - overlap > 0:
+                    go(p - overlap, p, w, c)
+
+    go(0, 0, 0, 0.0)
+    return min(best), best[min(best)], even
+
+
+def test_least_cost_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(40):
+        text = "".join(rng.choice(["ab ", "c. ", "d\n", "e\n\n", "fgh "]) for _ in range(rng.randint(8, 9)))
+        worst, cost, even = least_cost(text, 16, 2)
+        got = split.split(text, 16, 2)[1]
+        assert max([k for _, _, k in got[:-1]], default=0) == worst
+        own = sum(((e - s - even) / 16) ** 2 * 4 for s, e, _ in got) + sum(split.PENALTY[k] for _, _, k in got[:-1])
+        if len(text) > 16:
+            # finer kinds than the worst may not be left out, so the cost is the least of all ways of that worst kind
+            assert own <= cost + 1e-9
+    with pytest.raises(ValueError):
+        split.split("a b", 2, 2)
+
+
 def test_boundaries(spark):
     long = "word " * 30
     cases = {"paragraph": f"{long}\n \n{long}", "line": f"{long}\n{long}", "sentence": f"{long}. {long}", "word": long * 2, "none": "x" * 200}
     for kind, text in cases.items():
-        assert split.coarsest(text, 160) == kind
+        assert split.split(text, 160, 10)[0] == coarsest(text, 160) == kind
     rows = [(k, t) for k, t in cases.items()] + [("word", cases["word"]), ("short", "x"), ("null", None), ("blank", " " * 500)]
     got = split.split_chunks(chunks(spark, rows).withColumn("extra", F.lit(1)), 160, 10)
     assert {(r.chunk_id, r.boundary) for r in got.collect()} == {(k, k) for k in cases} | {("blank", "paragraph")}
@@ -417,6 +464,19 @@ def test_packing(spark):
     assert pack.pack(spark.createDataFrame([], "doc_id bigint, n_tokens int"), [("container_x", 10)]).count() == 0
 
 
+def test_packing_of_many_and_large_containers(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 5, 1 << 19, (1 << 21) + 3, 1 << 20])) for i in range(60)]
+    limits = [(f"container_{k:02}", (1 << 20) + k) for k in range(12)]
+    got = pack.pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens int"), limits).collect()
+    load: dict = {}
+    for r in got:
+        load[r.container, r.bin_no] = load.get((r.container, r.bin_no), 0) + r.n_tokens
+    for name, cap in limits:
+        own = [v for (c, _), v in load.items() if c == name]
+        assert max(own) <= cap and sum(own) == sum(n for _, n in rows)
+
+
 # 10 residue
 
 
