@@ -183,6 +183,19 @@ def test_long_values_vote_by_tokens():
     assert all(p[2] == q[1] and p[4] == q[3] for p, q in zip(ops, ops[1:]))
 
 
+def test_survivors_are_voted_for(spark):
+    """The rule by brute force, also in a group of more values than a block holds; the plan holds the alignment."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1, 2, -3]), rng.choice([None, 5, 6]), 0 if i < 90 else rng.randint(1, 20)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, version int, created_at int, g bigint").withColumn("created_at", F.timestamp_seconds("created_at"))
+    member = docs.select(F.col("g").alias("group_doc_id"), "doc_id")
+    df = survivors.survivors(docs, member)
+    low = lambda x: (x is not None, x or 0)
+    want = {g: max((r for r in rows if r[3] == g), key=lambda r: (low(r[1]), low(r[2]), -r[0]))[0] for g in {r[3] for r in rows}}
+    assert {r.group_doc_id: r.survivor_doc_id for r in df.collect()} == want
+    assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 # 3 personal information
 
 
