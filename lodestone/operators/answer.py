@@ -30,9 +30,29 @@ def distinct_evidence(evidence: DataFrame) -> DataFrame:
 def context(evidence: DataFrame) -> DataFrame:
     """(query_id, context): the evidence as numbered blocks, in order; top-k bounds each group."""
     prefix = F.when(F.coalesce("context_prefix", F.lit("")) != "", F.concat(F.lit(" ["), F.col("context_prefix"), F.lit("]"))).otherwise("")
-    block = F.concat(F.lit("[Source "), F.col("rank"), F.lit(" - Chunk "), F.col("chunk_id"), F.lit(" - Page "), F.coalesce(F.col("page_number").cast("string"), F.lit("None")), prefix, F.lit("]\n"), F.col("content"))
-    listed = F.sort_array(F.collect_list(F.struct("rank", block.alias("b"))))
-    return evidence.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n").alias("context"))
+    block = F.concat(F.lit("[Source "), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")), F.lit(" - Chunk "), F.col("chunk_id"), F.lit(" - Page "), F.coalesce(F.col("page_number").cast("string"), F.lit("None")), prefix, F.lit("]\n"), F.col("content"))
+    listed = F.sort_array(F.collect_list(F.struct("rank", "b")))
+    return evidence.withColumn("b", block).groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n").alias("context"))
+
+
+def distinct_rows(results: list[dict]) -> list[dict]:
+    """``distinct_evidence`` for the few results of one question."""
+    seen: set[str] = set()
+    out = []
+    for r in results:
+        h = r.get("content_hash") or ""
+        if not h or h not in seen:
+            out.append(r)
+        seen.add(h)
+    return out
+
+
+def cited(results: list[dict]) -> tuple[list[dict], list[dict]]:
+    """``citations`` and ``sources`` for the few results of one question."""
+    cut = lambda t: t[:150] + "..." if len(t or "") > 150 else t
+    cites = [{k: r.get(k) for k in ("document_id", "page_number", "section", "chunk_id")} | {"snippet": cut(r["content"])} for r in results]
+    pages = dict.fromkeys((r.get("document_id"), r.get("page_number")) for r in results)
+    return cites, [{"document_id": d, "page_number": p, "source_no": i} for i, (d, p) in enumerate(pages, 1)]
 
 
 NO_EVIDENCE = "No relevant evidence was found to answer your question."

@@ -17,23 +17,25 @@ def line_blocks(text: Column) -> Column:
 
 
 def pack(blocks: Column, most: int = PARENT_WORDS) -> Column:
-    """Sections of a page as strings: blocks are added until ``most`` words are reached; the block that crosses stays."""
-    sized = F.transform(blocks, lambda b: F.struct(b.alias("t"), word_count(b).alias("w")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-
-    def add(acc: Column, b: Column) -> Column:
-        full = acc["n"] + b["w"] >= most
-        grown = F.concat(acc["open"], F.array(b["t"]))
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(grown, " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(grown).alias("open"),
-            F.when(full, F.lit(0)).otherwise(acc["n"] + b["w"]).alias("n"),
-        )
+    """Sections of a page as strings: blocks are added until ``most`` words are reached; the block that crosses stays.
+
+    The accumulator holds the numbers of the blocks that close a section, not their texts, so a page costs what it is long.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("ends"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+
+    def add(acc: Column, w: Column) -> Column:
+        full = acc["n"] + w >= most
+        return F.struct(F.when(full, F.concat(acc["ends"], F.array(acc["i"] + 1))).otherwise(acc["ends"]).alias("ends"), (acc["i"] + 1).alias("i"), F.when(full, F.lit(0)).otherwise(acc["n"] + w).alias("n"))
 
     def close(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"])
+        return F.when(F.coalesce(F.try_element_at(acc["ends"], F.lit(-1)), F.lit(0)) < acc["i"], F.concat(acc["ends"], F.array(acc["i"]))).otherwise(acc["ends"])
 
-    return F.aggregate(sized, start, add, close)
+    ends = F.aggregate(F.transform(blocks, word_count), start, add, close)
+    # ends is bound once, as the only element of an array
+    held = F.array(F.struct(ends.alias("e")))
+    cut = lambda e, k: F.array_join(F.slice(blocks, F.when(k == 0, F.lit(0)).otherwise(F.element_at(e, F.greatest(k, F.lit(1)))) + 1, F.element_at(e, k + 1) - F.when(k == 0, F.lit(0)).otherwise(F.element_at(e, F.greatest(k, F.lit(1))))), " ")
+    return F.element_at(F.transform(held, lambda h: F.transform(h["e"], lambda _, k: cut(h["e"], k))), 1)
 
 
 def sections(pages: DataFrame) -> DataFrame:
@@ -74,6 +76,19 @@ def children(parents: DataFrame, size: int = CHILD_WORDS) -> DataFrame:
     )
 
 
+def all_chunks(pages: DataFrame) -> DataFrame:
+    """Sections, children, tables and figures of ``pages`` (document_id, filename, page_number, blocks, tables, figures)."""
+    # sections are needed twice, children come from their contents
+    parents = sections(pages.select("document_id", "filename", "page_number", "blocks"))
+    own = ("document_id", "chunk_id", "parent_id", "content", "content_hash", "section", "context_prefix", "page_number", "hierarchy_path", "chunk_type")
+    out = parents.select(*own).unionByName(children(parents).select(*own)).withColumn("embedding_representation", F.lit("text"))
+    none = F.lit(None).cast("string").alias("parent_id")
+    media = [c.withColumn("parent_id", none).withColumn("embedding_representation", F.lit("text") if "embedding_representation" not in c.columns else F.col("embedding_representation")) for c in (table_chunks(pages), figure_chunks(pages))]
+    for c in media:
+        out = out.unionByName(c.select(*own, "embedding_representation"))
+    return out.dropDuplicates(["chunk_id"])
+
+
 def table_chunks(pages: DataFrame) -> DataFrame:
     """One chunk for each table of ``pages`` (document_id, filename, page_number, tables array<struct<markdown,bbox>>)."""
     cut = pages.select("*", F.explode("tables").alias("t")).withColumn("md", F.coalesce(F.col("t.markdown"), F.lit("")))
@@ -86,6 +101,7 @@ def table_chunks(pages: DataFrame) -> DataFrame:
         digest.alias("content_hash"),
         F.concat(F.lit("Table Page "), F.col("page_number")).alias("section"),
         F.concat(F.col("filename"), F.lit(" > Page "), F.col("page_number"), F.lit(" > Table "), short).alias("context_prefix"),
+        "page_number",
         F.concat(F.lit("doc.page"), F.col("page_number"), F.lit(".table_"), short).alias("hierarchy_path"),
         F.lit("TABLE").alias("chunk_type"),
     )
@@ -108,11 +124,16 @@ def figure_chunks(pages: DataFrame) -> DataFrame:
     )
     cut = cut.withColumn("parts", parts).where((F.size("parts") > 0) | some(F.col("f.image_path")))
     cut = cut.withColumn("content", F.when(F.size("parts") > 0, F.array_join("parts", "\n")).otherwise(F.concat(F.lit("Figure from page "), F.col("page_number"))))
-    short = F.substring(chunk_hash(F.col("content")), 1, 12)
+    digest = chunk_hash(F.col("content"))
+    short = F.substring(digest, 1, 12)
     return cut.select(
         "document_id",
         F.concat(F.col("document_id"), F.lit("::p"), F.col("page_number"), F.lit("::f"), short).alias("chunk_id"),
         "content",
+        digest.alias("content_hash"),
+        F.concat(F.lit("Figure Page "), F.col("page_number")).alias("section"),
+        F.concat(F.col("filename"), F.lit(" > Page "), F.col("page_number"), F.lit(" > Figure "), short).alias("context_prefix"),
+        "page_number",
         F.when(seen, "DIAGRAM").otherwise("IMAGE").alias("chunk_type"),
         F.when(some(F.col("f.image_path")), "image").otherwise("text_summary_of_image").alias("embedding_representation"),
         F.concat(F.lit("doc.page"), F.col("page_number"), F.lit(".figure_"), short).alias("hierarchy_path"),

@@ -22,6 +22,16 @@ def latest_jobs(jobs: DataFrame) -> DataFrame:
     return last.select("job_id", "document_id", known.alias("status"), "o.current_stage", "o.started_at")
 
 
+def checkpoints(jobs: DataFrame) -> DataFrame:
+    """(job_id, stage_checkpoints, last_successful_stage) of each job: a stage is done if any row says so; the last stage is that of the latest row that names one."""
+    own = jobs.where("job_id is not null")
+    order = F.struct(F.coalesce("retry_count", F.lit(-1)), "started_at", "completed_at", "last_successful_stage")
+    last = own.where("last_successful_stage is not null").groupBy("job_id").agg(F.max_by("last_successful_stage", order).alias("last_successful_stage"))
+    flat = own.where("stage_checkpoints is not null").select("job_id", F.explode("stage_checkpoints").alias("stage", "done")).where("done is not null").groupBy("job_id", "stage").agg(F.max("done").alias("done"))
+    done = flat.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "done"))).alias("stage_checkpoints"))
+    return done.join(last, "job_id", "full_outer")
+
+
 def listing(docs: DataFrame, tenant: str, status: str | None, limit: int, offset: int) -> DataFrame:
     """A page of a tenant's records, newest first."""
     own = docs.where(F.col("tenant_id") == tenant)

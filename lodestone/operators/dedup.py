@@ -48,50 +48,82 @@ def coefficients() -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.uint64), np.array(b, np.uint64)
 
 
-def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minima of (a h + b) mod PRIME over 32-bit hashes; split so that nothing overflows 64 bits."""
+def permuted(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(a h + b) mod PRIME of 32-bit hashes, (hashes, permutations); split so that nothing overflows 64 bits."""
     p, h = np.uint64(PRIME), hashes[:, None]
     high = (a >> np.uint64(16)) * h % p
-    return (((high << np.uint64(16)) + (a & np.uint64(65535)) * h + b) % p).min(axis=0)
+    return ((high << np.uint64(16)) + (a & np.uint64(65535)) * h + b) % p
+
+
+#: Trigrams whose permuted hashes a worker remembers (512 bytes each).
+KNOWN_GRAMS = 40_000
 
 
 def minhash(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sig array<bigint>) over the character trigrams of the squeezed lower-case text."""
+    """(key, sig array<bigint>) over the character trigrams of the squeezed lower-case text.
+
+    A worker keeps the permuted hashes of the trigrams it has seen in one bounded table; a text takes the minima of its rows.
+    """
     from hashlib import md5
 
     ca, cb = coefficients()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        row: dict[str, int] = {}
+        table = np.zeros((KNOWN_GRAMS, PERMUTATIONS), np.uint64)
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                grams = {t[i : i + 3] for i in range(len(t) - 2)} or {t}
-                for g in grams.difference(memo):
-                    memo[g] = int(md5(g.encode()).hexdigest()[:8], 16)
-                out.append(signature(np.fromiter(map(memo.__getitem__, grams), np.uint64, len(grams)), ca, cb).astype(np.int64).tolist())
-                if len(memo) > 500_000:
-                    memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], [key, "sig"])
+            out = np.zeros((batch.num_rows, PERMUTATIONS), np.uint64)
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                least = None
+                grams = list({t[i : i + 3] for i in range(len(t) - 2)} or {t})
+                for at in range(0, len(grams), KNOWN_GRAMS // 2):
+                    part = grams[at : at + KNOWN_GRAMS // 2]
+                    new = [g for g in part if g not in row]
+                    if len(row) + len(new) > KNOWN_GRAMS:
+                        row.clear()
+                        new = part
+                    if new:
+                        h = np.fromiter((int(md5(g.encode()).hexdigest()[:8], 16) for g in new), np.uint64, len(new))
+                        table[len(row) : len(row) + len(new)] = permuted(h, ca, cb)
+                        row.update(zip(new, range(len(row), len(row) + len(new))))
+                    low = table[np.fromiter(map(row.__getitem__, part), np.int64, len(part))].min(axis=0)
+                    least = low if least is None else np.minimum(least, low)
+                out[k] = least
+            flat = pa.array(out.ravel().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PERMUTATIONS, dtype=np.int32)), flat)], [key, "sig"])
 
     src = texts.where(F.col(text).isNotNull()).select(F.col(key), squeeze(F.lower(F.col(text))).alias("t"))
     return src.mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, sig array<bigint>")
 
 
+def banded(sigs: DataFrame, key: str) -> DataFrame:
+    """(key, band, h): the digest of each band of a signature as it is written."""
+    rows = PERMUTATIONS // BANDS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.md5(F.concat(F.lit("("), F.array_join(F.slice("sig", b * rows + 1, F.lit(rows)), ", "), F.lit(")"))))
+    return sigs.select(key, F.posexplode(bands).alias("band", "h"))
+
+
+def near_new(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """(new, old) keys of ``new`` signatures that share a band with ``old`` ones, each once."""
+    x = banded(new, key).select(F.col(key).alias("new"), "band", "h")
+    y = banded(old, key).select(F.col(key).alias("old"), "band", "h")
+    return x.join(y, ["band", "h"]).where("new <> old").select("new", "old").distinct()
+
+
 def band_pairs(sigs: DataFrame, key: str, agree: float = 0.8) -> DataFrame:
     """(a, b, agreement) with a < b that share a band and agree in the share ``agree`` of the signature.
 
-    Equal signatures form one class, whose smallest member stands for it, so copies make no pairs of their own.
+    Equal signatures form one class, whose smallest member stands for it, so copies make no pairs of their own. Keys alone
+    meet on the bands; signatures are fetched for the different pairs.
     """
     classes = sigs.groupBy("sig").agg(F.min(key).alias("rep"))
-    rows = PERMUTATIONS // BANDS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, F.lit(rows))))
-    posted = classes.select("rep", "sig", F.posexplode(bands).alias("band", "h"))
-    x = posted.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), "band", "h")
-    y = posted.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), "band", "h")
+    posted = banded(classes, "rep")
+    x = posted.select(F.col("rep").alias("a"), "band", "h")
+    y = posted.select(F.col("rep").alias("b"), "band", "h")
+    pairs = x.join(y, ["band", "h"]).where("a < b").select("a", "b").distinct()
+    held = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda e: e)) / PERMUTATIONS
-    near = x.join(y, ["band", "h"]).where("a < b").withColumn("agreement", same).where(F.col("agreement") >= agree)
-    return near.select("a", "b", "agreement").distinct()
+    return held.select("a", "b", same.alias("agreement")).where(F.col("agreement") >= agree)
 
 
 def near_members(sigs: DataFrame, key: str, agree: float = 0.8) -> DataFrame:

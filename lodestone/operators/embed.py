@@ -44,6 +44,45 @@ def embed_texts(texts: DataFrame, embedder: Embedder = feature_hashing, batch: i
     return texts.select("content_hash", "content").mapInArrow(run, "content_hash string, vector array<float>")
 
 
+def embed_mixed(chunks: DataFrame, embedder: Embedder = feature_hashing, image_embedder: Embedder | None = None, read: Callable[[str], bytes] | None = None) -> DataFrame:
+    """(chunk_id, vector, way) of ``chunks`` (chunk_id, content, embedding_representation, image_path).
+
+    Chunks represented by an image with a path go through the image model one by one, all others through the text model in
+    batches; an image that fails is embedded by its text (way ``fallback``).
+    """
+    from .models import image_hashing, image_url
+
+    images = image_embedder or image_hashing
+
+    def opened(path: str) -> bytes:
+        if read is not None:
+            return read(path)
+        with open(path, "rb") as f:
+            return f.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 32):
+                part = b.slice(at, 32)
+                ids, texts, kinds, paths = (c.to_pylist() for c in part.columns)
+                vectors, way = [None] * len(ids), ["text"] * len(ids)
+                for i, (kind, path) in enumerate(zip(kinds, paths)):
+                    if kind == "image" and path:
+                        try:
+                            vectors[i], way[i] = images([image_url(path, opened(path))])[0], "image"
+                        except Exception:
+                            way[i] = "fallback"
+                rest = [i for i, v in enumerate(vectors) if v is None]
+                got = embedder([texts[i] or "" for i in rest]) if rest else []
+                if len(got) != len(rest):
+                    raise ValueError(f"{len(rest)} texts gave {len(got)} vectors")
+                for i, v in zip(rest, got):
+                    vectors[i] = v
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32())), pa.array(way)], ["chunk_id", "vector", "way"])
+
+    return chunks.select("chunk_id", "content", "embedding_representation", "image_path").mapInArrow(run, "chunk_id string, vector array<float>, way string")
+
+
 def probe(chunks: DataFrame, cache: DataFrame, model: str, version: str) -> DataFrame:
     """``chunks`` with content_hash, cache_key and the cached vector or null; ``cache`` has cache_key and vector."""
     keyed = chunks.withColumn("content_hash", F.coalesce("content_hash", chunk_hash(F.col("content"))))

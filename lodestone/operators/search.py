@@ -121,6 +121,18 @@ def graph(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     return top(hit.select("query_id", "chunk_id", F.lit(0.8).alias("score")).distinct(), k)
 
 
+def richest(*channels: DataFrame, prefix: str = "context_prefix") -> DataFrame:
+    """Of the rows of all channels for a result, the first one with a prefix; the first of all where none has one."""
+    rest = [c for c in channels[0].columns if c not in ("query_id", "chunk_id")]
+    lists = None
+    for i, c in enumerate(channels):
+        own = c.where("chunk_id is not null and chunk_id <> ''").withColumn("list", F.lit(i))
+        lists = own if lists is None else lists.unionByName(own)
+    bare = F.coalesce(F.col(prefix), F.lit("")) == ""
+    kept = lists.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct(*rest), F.struct(bare, "list", "rank")).alias("r"))
+    return kept.select("query_id", "chunk_id", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def rrf(*channels: DataFrame, n: int = 30) -> DataFrame:
     """Reciprocal rank fusion; ties keep the order of the channels, then of their lists."""
     lists = None
@@ -148,9 +160,19 @@ def rerank(fused: DataFrame, queries: DataFrame, contents: DataFrame, k: int, mo
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
 
 
+def confidence_of(score: float | None) -> tuple[str, float, str]:
+    """(level, score, reason) of the best result's score; null if there is no result."""
+    if score is None:
+        return "LOW", 0.0, "No evidence retrieved"
+    level, word = ("HIGH", "Strong top") if score >= 0.75 else ("MEDIUM", "Moderate top") if score >= 0.45 else ("LOW", "Weak")
+    return level, round(score, 3), f"{word} evidence score ({score:.2f})"
+
+
 def confidence(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, level, score) from the best result; LOW and 0 where there is none."""
+    """(query_id, level, score, reason) from the best result; LOW and 0 where there is none."""
     best = results.groupBy("query_id").agg(F.max("score").alias("s"))
     s = F.coalesce("s", F.lit(0.0))
     level = F.when(s >= 0.75, "HIGH").when(s >= 0.45, "MEDIUM").otherwise("LOW")
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", level.alias("level"), F.round(s, 3).alias("score"))
+    word = F.when(s >= 0.75, "Strong top").when(s >= 0.45, "Moderate top").otherwise("Weak")
+    reason = F.when(F.col("s").isNull(), "No evidence retrieved").otherwise(F.concat(word, F.lit(" evidence score ("), F.format_number(s, 2), F.lit(")")))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", level.alias("level"), F.round(s, 3).alias("score"), reason.alias("reason"))

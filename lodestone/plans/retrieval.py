@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import answer, control, policy, search
-from .common import CHUNKS_ONCE, QUERIES as ASKED, USABLE, chunks_once, queries_for, table, usable_vectors
+from ..operators.index import SearchIndex
+from ..session import shared_root
+from .common import CHUNKS_ONCE, QUERIES as ASKED, TOP_K, USABLE, chunks_once, intent_sql, kept, queries_for, table, usable_vectors
 
 ACCESS = ("tenant_id", "knowledge_base_id", "access_classification", "parent_id")
 
@@ -26,39 +30,84 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), "rank", "score")
 
 
-def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.dense(*_with_vectors(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", "score")
+_INDEXES: dict[tuple[str, str], tuple[SearchIndex, DataFrame]] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[SearchIndex, DataFrame]:
+    """The search index of a data folder and its questions with vectors, built once by an application and kept in the shared folder.
+
+    Building is what ingestion does in the engine; the queries below answer from what it stored.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        vectors, _, queries = _with_vectors(spark, sf_dir)
+        chunks = chunks_once(spark, sf_dir, "content", "hierarchy_path", "document_id", "page_number", "section", "content_hash", "context_prefix", *ACCESS)
+        index = SearchIndex(spark, f"{shared_root(spark)}/lodestone/index-{uuid.uuid4().hex}").build(chunks, vectors)
+        every = queries_for(spark, sf_dir).join(queries.select("query_id", "vector"), "query_id", "left")
+        _INDEXES[key] = index, kept(every, "questions")
+    return _INDEXES[key]
 
 
-def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks_once(spark, sf_dir, "content", "hierarchy_path", *ACCESS).where("parent_id is not null")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of the index."""
+    return indexed(spark, sf_dir)[0].read("terms").select("term", "df")
+
+
+def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, q = indexed(spark, sf_dir)
+    return index.dense(q, 2 * TOP_K).select("query_id", "chunk_id", "rank", "score")
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_children(spark, sf_dir), queries_for(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", "score")
+    index, q = indexed(spark, sf_dir)
+    return index.bm25(q, 2 * TOP_K).select("query_id", "chunk_id", "rank", "score")
 
 
 def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.graph(_children(spark, sf_dir), queries_for(spark, sf_dir)).select("query_id", "chunk_id", "rank", "score")
+    index, q = indexed(spark, sf_dir)
+    return index.graph(q).select("query_id", "chunk_id", "rank", "score")
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rrf(dense_search(spark, sf_dir), bm25_search(spark, sf_dir), graph_match(spark, sf_dir))
 
 
+def richest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every fused result the row with a context prefix, though the dense channel has it for even pages only."""
+    index, _ = indexed(spark, sf_dir)
+    with_prefix = lambda c: index.contents(c.select("query_id", "chunk_id", "rank"), "context_prefix", "page_number")
+    dense = with_prefix(dense_search(spark, sf_dir)).withColumn("context_prefix", F.when(F.col("page_number") % 2 == 0, F.col("context_prefix"))).withColumn("channel", F.lit("dense"))
+    others = [with_prefix(c).withColumn("channel", F.lit(n)) for n, c in (("bm25", bm25_search(spark, sf_dir)), ("graph", graph_match(spark, sf_dir)))]
+    return search.richest(dense, *others).select("query_id", "chunk_id", "context_prefix", "channel", "rank")
+
+
+def retrieval_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each question was routed: its intent, what the graph was asked, and the channels that gave anything."""
+    _, q = indexed(spark, sf_dir)
+    hit = graph_match(spark, sf_dir).select("query_id").distinct().withColumn("g", F.lit("+graph"))
+    return q.join(hit, "query_id", "left").select("query_id", "intent", "entity", F.concat(F.lit("dense+bm25"), F.coalesce("g", F.lit("")), F.lit("_rrf_rerank")).alias("strategy"))
+
+
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three channels, fused and reranked: the flagship query."""
-    contents = chunks_once(spark, sf_dir, "content").select("chunk_id", "content")
-    return search.rerank(rrf_fusion(spark, sf_dir), queries_for(spark, sf_dir), contents, 10)
+    index, q = indexed(spark, sf_dir)
+    return search.rerank(rrf_fusion(spark, sf_dir), q, index.read("chunks").select("chunk_id", "content"), TOP_K)
+
+
+def hybrid_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question alone, the first: what a user waits for."""
+    index, q = indexed(spark, sf_dir)
+    one = q.orderBy("query_id").limit(1)
+    fused = search.rrf(index.dense(one, 2 * TOP_K), index.bm25(one, 2 * TOP_K), index.graph(one))
+    return search.rerank(fused, one, index.read("chunks").select("chunk_id", "content"), TOP_K)
 
 
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.confidence(hybrid_search(spark, sf_dir), queries_for(spark, sf_dir))
+    return search.confidence(hybrid_search(spark, sf_dir), indexed(spark, sf_dir)[1])
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks_once(spark, sf_dir, "content", "document_id", "page_number", "section", "content_hash", "context_prefix")
-    return hybrid_search(spark, sf_dir).join(c, "chunk_id")
+    return indexed(spark, sf_dir)[0].contents(hybrid_search(spark, sf_dir), "content", "document_id", "page_number", "section", "content_hash", "context_prefix")
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +120,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct evidence, context, offline answer and its groundedness for every query."""
-    ev, q = answer.distinct_evidence(_evidence(spark, sf_dir)), queries_for(spark, sf_dir)
+    ev, q = answer.distinct_evidence(_evidence(spark, sf_dir)), indexed(spark, sf_dir)[1]
     text = ev.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), " ").alias("evidence"))
     got = answer.extractive_answer(ev, q).join(text, "query_id", "left").join(answer.context(ev), "query_id", "left")
     return answer.grounded(got).select("query_id", F.md5("answer").alias("answer_md5"), F.length("context").alias("context_chars"), "verification_status", "score")
@@ -97,6 +146,13 @@ def policy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("level", F.array_join(policy.permitted(F.col("level")), ",").alias("permitted"))
 
 
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by a policy's answer: a boolean, an object, a broken one, or none."""
+    rows = [(x, s) for x in ("RESTRICTED", "INTERNAL", "PUBLIC") for s in ("true", "false", '{"allowed":true,"permitted_access_levels":["PUBLIC"]}', '{"allowed":true}', "{}", None)]
+    d = spark.createDataFrame(rows, "level string, said string").withColumn("d", policy.decided(F.col("level"), F.col("said")))
+    return d.select("level", "said", "d.allowed", F.array_join("d.levels", ",").alias("levels"))
+
+
 def acl_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = policy.secured(chunks_once(spark, sf_dir, *ACCESS), queries_for(spark, sf_dir))
     return seen.groupBy("query_id", "access_classification").agg(F.count("*").alias("n"))
@@ -121,6 +177,14 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOK = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}_]+')"
 SEEN = "seen AS (SELECT q.query_id, c.chunk_id FROM chunks_once c JOIN queries q ON c.tenant_id = q.tenant_id AND list_contains(q.levels, coalesce(c.access_classification, 'INTERNAL')))"
 QV = "qv AS (SELECT q.query_id, (SELECT arg_min(u.vector, c.chunk_id) FROM chunks_once c JOIN usable u USING (chunk_id) WHERE c.tenant_id = q.tenant_id) AS v FROM queries q)"
+STRATEGY = "SELECT q.query_id, q.intent, q.entity, 'dense+bm25' || CASE WHEN q.query_id IN (SELECT query_id FROM gr) THEN '+graph' ELSE '' END || '_rrf_rerank' AS strategy FROM queries q"
+RICHEST = """r AS (SELECT l.query_id, l.chunk_id, l.rank, l.l, CASE WHEN l.l > 0 OR c.page_number % 2 = 0 THEN c.context_prefix END AS p FROM lists l JOIN chunks_once c USING (chunk_id))
+SELECT query_id, chunk_id, p AS context_prefix, ['dense','bm25','graph'][l + 1] AS channel, rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY coalesce(p, '') = '', l, rank) = 1"""
+ANSWERS = rf"""dist AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY query_id, CASE WHEN coalesce(content_hash, '') = '' THEN chunk_id ELSE content_hash END, coalesce(content_hash, '') = '' ORDER BY rank) = 1)),
+ctx AS (SELECT query_id, string_agg('[Source ' || no || ' - Chunk ' || chunk_id || ' - Page ' || coalesce(CAST(page_number AS VARCHAR), 'None') || CASE WHEN coalesce(context_prefix, '') <> '' THEN ' [' || context_prefix || ']' ELSE '' END || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY no) AS context, string_agg(content, ' ' ORDER BY no) AS evidence, arg_min(content, no) AS best FROM dist GROUP BY query_id),
+an AS (SELECT q.query_id, coalesce(x.best, 'No relevant evidence was found to answer your question.') AS a, x.context, lower(x.evidence) AS ev FROM queries q LEFT JOIN ctx x USING (query_id)),
+aw AS (SELECT *, lower(a) AS low, list_filter(regexp_extract_all(lower(a), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 3) AS ws FROM an), ar AS (SELECT *, contains(low, 'no relevant evidence') OR contains(low, 'insufficient evidence') OR len(ws) = 0 AS easy, len(list_filter(ws, lambda x: contains(ev, x))) / len(ws) AS ratio FROM aw)
+SELECT query_id, md5(a) AS answer_md5, CAST(length(context) AS INTEGER) AS context_chars, CASE WHEN ev IS NULL THEN 'UNSUPPORTED' WHEN easy OR ratio >= 0.6 THEN 'SUPPORTED' WHEN ratio >= 0.35 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS verification_status, CASE WHEN ev IS NULL THEN 0.0 WHEN easy THEN 1.0 ELSE round(ratio, 2) END AS score FROM ar"""
 DENSE = """dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
   (SELECT s.query_id, s.chunk_id, round(list_cosine_similarity(u.vector, qv.v), 6) AS score FROM seen s JOIN usable u USING (chunk_id) JOIN qv USING (query_id) WHERE qv.v IS NOT NULL) QUALIFY rank <= 20)"""
 BM = f"""kids AS (SELECT * FROM chunks_once WHERE parent_id IS NOT NULL), toks AS (SELECT chunk_id, {TOK % 'content'} AS t FROM kids), tot AS (SELECT count(*) AS n, avg(len(t)) AS a FROM toks),
@@ -142,19 +206,11 @@ top AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER
 GROUND = rf"""list_filter({TOK % 'a'}, lambda w: length(w) > 3)"""
 
 
-def _intent_sql() -> str:
-    cases = []
-    for name, needles in T.INTENTS:
-        test = " OR ".join(f"contains(lower(q), '{n}')" for n in needles)
-        cases.append(f"WHEN {test}" + (f" OR regexp_matches(lower(q), '{T.TECHNICAL_TERM}')" if name == "TECHNICAL" else "") + f" THEN '{name}'")
-    return "CASE " + " ".join(cases) + " ELSE 'FACTUAL' END"
-
-
 def _sql() -> dict[str, str]:
     from .etl import SQUEEZE
 
     intents = f"""WITH {CHUNKS_ONCE}, r AS (SELECT chunk_id, content FROM chunks_once UNION ALL VALUES ('probe_1','  how to read   the diagram '),('probe_2','P2001 wired to AB-12?'),('probe_3','repair steps'),('probe_4','E-104'),('probe_5','hello')),
-      c AS (SELECT chunk_id, {SQUEEZE % 'content'} AS q FROM r) SELECT chunk_id, {_intent_sql()} AS intent, array_to_string(regexp_extract_all(q, '{T.ENTITY}'), ',') AS entities FROM c"""
+      c AS (SELECT chunk_id, {SQUEEZE % 'content'} AS q FROM r) SELECT chunk_id, {intent_sql("q")} AS intent, array_to_string(regexp_extract_all(q, '{T.ENTITY}'), ',') AS entities FROM c"""
     grounded = f"""WITH {CHUNKS_ONCE}, p AS (SELECT chunk_id AS parent_id, lower(content) AS ev FROM chunks_once WHERE parent_id IS NULL), k AS (SELECT c.chunk_id, c.content AS a, p.ev FROM chunks_once c LEFT JOIN p USING (parent_id) WHERE c.parent_id IS NOT NULL),
       w AS (SELECT chunk_id, ev, lower(a) AS low, {GROUND} AS ws FROM k), r AS (SELECT *, contains(low, 'no relevant evidence') OR contains(low, 'insufficient evidence') OR len(ws) = 0 AS easy, len(list_filter(ws, lambda x: contains(ev, x))) / len(ws) AS ratio FROM w)
       SELECT chunk_id, CASE WHEN ev IS NULL THEN 'UNSUPPORTED' WHEN easy OR ratio >= 0.6 THEN 'SUPPORTED' WHEN ratio >= 0.35 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS verification_status,
@@ -166,7 +222,14 @@ def _sql() -> dict[str, str]:
         "graph_match": f"{HEAD} SELECT query_id, chunk_id, rank, score FROM gr",
         "rrf_fusion": f"{HEAD} SELECT query_id, chunk_id, rank, score FROM fused",
         "hybrid_search": f"{HEAD} SELECT query_id, chunk_id, rank, score FROM hyb",
-        "confidence": f"{HEAD} SELECT q.query_id, CASE WHEN coalesce(max(h.score), 0) >= 0.75 THEN 'HIGH' WHEN coalesce(max(h.score), 0) >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level, round(coalesce(max(h.score), 0), 3) AS score FROM queries q LEFT JOIN hyb h USING (query_id) GROUP BY q.query_id",
+        "hybrid_single": f"{HEAD} SELECT query_id, chunk_id, rank, score FROM hyb WHERE query_id = (SELECT min(query_id) FROM queries)",
+        "search_index": f"WITH {CHUNKS_ONCE}, t AS (SELECT DISTINCT chunk_id, unnest({TOK % 'content'}) AS term FROM chunks_once WHERE parent_id IS NOT NULL) SELECT term, count(*) AS df FROM t GROUP BY term",
+        "retrieval_strategy": f"{HEAD} {STRATEGY}",
+        "richest_evidence": f"{HEAD}, {RICHEST}",
+        "answers": f"{HEAD}, {EVID}, {ANSWERS}",
+        "policy_decisions": """WITH l(level) AS (VALUES ('RESTRICTED'),('INTERNAL'),('PUBLIC')), s(said) AS (VALUES ('true'),('false'),('{"allowed":true,"permitted_access_levels":["PUBLIC"]}'),('{"allowed":true}'),('{}'),(NULL))
+          SELECT level, said, said IS NULL OR said = 'true' OR contains(said, '"allowed":true') AS allowed, CASE WHEN said IS NULL AND level = 'PUBLIC' OR contains(said, '["PUBLIC"]') THEN 'PUBLIC' WHEN level = 'RESTRICTED' AND (said IS NULL OR said IN ('true', 'false')) THEN 'PUBLIC,INTERNAL,RESTRICTED' ELSE 'PUBLIC,INTERNAL' END AS levels FROM l, s""",
+        "confidence": f"{HEAD} SELECT q.query_id, CASE WHEN coalesce(max(h.score), 0) >= 0.75 THEN 'HIGH' WHEN coalesce(max(h.score), 0) >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level, round(coalesce(max(h.score), 0), 3) AS score, CASE WHEN max(h.score) IS NULL THEN 'No evidence retrieved' ELSE printf('%s evidence score (%.2f)', CASE WHEN max(h.score) >= 0.75 THEN 'Strong top' WHEN max(h.score) >= 0.45 THEN 'Moderate top' ELSE 'Weak' END, max(h.score)) END AS reason FROM queries q LEFT JOIN hyb h USING (query_id) GROUP BY q.query_id",
         "citations": f"{HEAD}, {EVID} SELECT query_id, rank, document_id, page_number, section, chunk_id, CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE content END AS snippet FROM ev",
         "sources": f"{HEAD}, {EVID} SELECT query_id, document_id, page_number, row_number() OVER (PARTITION BY query_id ORDER BY first) AS source_no FROM (SELECT query_id, document_id, page_number, min(rank) AS first FROM ev GROUP BY ALL)",
         "groundedness": grounded,
@@ -180,5 +243,5 @@ def _sql() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_search, bm25_search, graph_match, rrf_fusion, hybrid_search, confidence, citations, sources, answers, groundedness, intent_entities, policy_levels, acl_visible, cache_keys, eval_metrics)}
+QUERIES = {f.__name__: f for f in (dense_topk, dense_search, bm25_search, graph_match, rrf_fusion, richest_evidence, retrieval_strategy, search_index, hybrid_search, hybrid_single, confidence, citations, sources, answers, groundedness, intent_entities, policy_levels, policy_decisions, acl_visible, cache_keys, eval_metrics)}
 SQL = _sql()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,8 +35,26 @@ def ship(spark: SparkSession) -> SparkSession:
         root = Path(__file__).resolve().parent
         fd, name = tempfile.mkstemp(prefix="lodestone-", suffix=".zip")
         with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
-            for p in sorted(root.rglob("*.py")):
+            for p in sorted(p for kind in ("*.py", "*.json") for p in root.rglob(kind)):
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(name)
         _SHIPPED.add(app)
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own on this machine, but in local mode only: elsewhere every executor would write
+    to its own disk.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _OWN:
+        holder = tempfile.TemporaryDirectory(prefix="lodestone-")
+        atexit.register(holder.cleanup)
+        _OWN["dir"] = holder.name
+    return _OWN["dir"]

@@ -117,7 +117,7 @@ def test_minhash_pairs(spark):
     draw = random.Random(42)
     assert [int(x) for x in a] == [draw.randint(1, dedup.PRIME - 1) for _ in range(64)]
     h = 123456789
-    assert int(dedup.signature(dedup.np.array([h], dedup.np.uint64), a, b)[3]) == (int(a[3]) * h + int(b[3])) % dedup.PRIME
+    assert int(dedup.permuted(dedup.np.array([h], dedup.np.uint64), a, b)[0, 3]) == (int(a[3]) * h + int(b[3])) % dedup.PRIME
 
 
 def test_newest_twin(spark):
@@ -147,7 +147,7 @@ def test_fusion_scores_ignore_list_order(spark, x, y):
 def test_confidence(spark, score, level):
     q = spark.createDataFrame([("q",)], "query_id string")
     r = spark.createDataFrame([("q", score)] if score is not None else [], "query_id string, score double")
-    assert search.confidence(r, q).first()[1:] == (level, score or 0.0)
+    assert search.confidence(r, q).first()[1:3] == (level, score or 0.0)
 
 
 def test_access(spark):
@@ -203,7 +203,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"text")
     good, bad = files.validated(files.landing(spark, str(tmp_path)))
     assert good.count() == 1 and bad.first().reason == "kind not supported"
-    assert metadata.load_config(str(tmp_path), "none") == metadata.MANUFACTURING
+    assert metadata.load_config(str(tmp_path), "none") == metadata.GENERIC and metadata.load_config(None, "manufacturing")["entity_types"]
+    (tmp_path / "bad.json").write_text("{")
+    assert metadata.load_config(str(tmp_path), "bad")["domain"] == "generic"
     assert one(spark, files.html_blocks(F.lit("<p>a &amp;lt; <b>b</b></p><li> </li>"))) == ["a &lt; b"]
 
 

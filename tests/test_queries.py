@@ -10,7 +10,8 @@ QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(name, spark, sf):
-    mine, theirs = both(QUERIES[name](spark, sf), SQL[name], sf)
+    df = QUERIES[name](spark, sf)
+    mine, theirs = both(df, SQL[name], sf)
     assert mine == theirs
 
 
