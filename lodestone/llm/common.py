@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from ..session import shared_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a local folder of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if "dir" not in _OWN:
-        holder = tempfile.TemporaryDirectory(prefix="lodestone-")
-        atexit.register(holder.cleanup)
-        _OWN["dir"] = holder.name
-    return _OWN["dir"]
+    """The folder all executors share; fails off local mode where ``spark.checkpoint.dir`` is unset."""
+    return shared_root(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
