@@ -508,7 +508,7 @@ def test_residue(spark):
 
 
 def test_residue_of_joined_and_long_messages():
-    tree = residue.TemplateTree(frozenset({"capteur", "pompe", "pump", "drive"}))
+    tree = residue.Judge(frozenset({"capteur", "pompe", "pump", "drive"}))
     pages = [
         "Oops! This item has been moved or deleted - If this continues, tell the portal team.", "(429) Der Dienst ist derzeit nicht erreichbar - Bitte später erneut versuchen.", "THIS ITEM HAS BEEN MOVED OR DELETED - PLEASE RETRY LATER.",
         "The page that you are looking for was not found on this server.", "le capteur > la pompe\nAccès refusé!\nle capteur > la pompe", "Internal fault in the viewer. Please retry later.",
@@ -519,6 +519,40 @@ def test_residue_of_joined_and_long_messages():
     assert [residue.classify_text(t, tree) for t in real] == [None] * len(real)
 
 
+def test_slots_and_pages_of_other_makes():
+    judge = residue.Judge(frozenset({"pump"}))
+    kinds = {
+        "Dear <CUSTOMER>, your order {order_no} from [DATE] has shipped.": "placeholder", "Dear [NAME], thank you for ordering on [DATE].": "placeholder", "502 Bad Gateway": "error_page", "This site is under maintenance": "error_page",
+        "Webseite vorübergehend offline": "error_page", "Please wait while we verify that you are human.": "script_notice", "The pump is offline during the night and is restarted in the morning.": None, "<HTML><BODY><TABLE><TR><TD>The pump is cold.</TD></TR></TABLE></BODY></HTML>": None,
+    }
+    assert {t: residue.classify_text(t, judge) for t in kinds} == kinds
+
+
+def test_templates_are_mined(spark):
+    """A page unknown to the seeds is found by its support and spread; the same words spread over ordinary records are content."""
+    page = lambda k: f"Your visit {k}-{k * 7} to the reading room could not be matched by our server and was put aside."
+    plain = "The pump is cleaned. The valve is opened. The shaft is turned by hand. The cover is put on again. "
+    real = lambda k: f"The server in hall {k} is restarted by the night crew."
+    rows = [(i, page(i)) for i in range(6)] + [(10 + i, plain + real(i)) for i in range(6)] + [(20, real(3)), (21, real(4)), (22, real(5)), (30, "Once seen: the server was put aside by all of us.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    templates = [r for r in residue.mined(docs).collect() if r.few >= 3]
+    assert any(r.few == 6 and r.template.count(None) == 0 and "#" in r.template for r in templates)
+    got = {r.doc_id: r.residue_type for r in residue.residue(docs, frozenset({"pump", "valve"})).collect()}
+    assert got == {i: "error_page" for i in range(6)}
+
+
+def test_tree_learns_wildcards():
+    t = residue.TemplateTree()
+    for w in ("red", "green", "blue"):
+        t.add(t.tokens(f"the {w} lamp of unit 7 is lit"), 1, 0)
+    t.add(t.tokens("the lamp"), 1, 0)
+    assert sorted(len(x) for _, x, _ in t.rows()) == [2, 8, 8, 8]  # the second token is a level of the tree
+    same = residue.TemplateTree()
+    for w in ("red", "green"):
+        same.add(same.tokens(f"lamp of unit {w} is now lit"), 1, 0)
+    assert [x for _, x, _ in same.rows()] == [["lamp", "of", "unit", None, "is", "now", "lit"]] and next(same.rows())[2] == [2, 0]
+
+
 def test_found_queries(spark, sf):
     from lodestone import llm
 
