@@ -85,6 +85,7 @@ class TemplateTree:
     def __init__(self) -> None:
         self.leaves: dict[Path, list[list[str | None]]] = {}
         self.counts: dict[Path, list[list[int]]] = {}
+        self.starts: set[str] = set()
 
     @staticmethod
     def tokens(message: str) -> list[str]:
@@ -104,6 +105,20 @@ class TemplateTree:
                 best, at = same, k
         return (path, at) if at >= 0 else None
 
+    def hold(self, template: list[str | None]) -> Path:
+        """Take in a template as it is."""
+        path = self.path(template)
+        self.leaves.setdefault(path, []).append(template)
+        self.starts.add(path[1])
+        return path
+
+    def match(self, message: str) -> tuple[Path, int] | None:
+        """The held template of a message; most messages are turned away at their first token."""
+        first = message.split(None, 1)[:1]
+        if not first or _CODED.sub("#", first[0].lower()) not in self.starts:
+            return None
+        return self.find(self.tokens(message))
+
     def add(self, tokens: list[str | None], *counts: int) -> None:
         """Put a message, or a template of another tree, where it belongs; places that differ become wildcards."""
         got = self.find(tokens)
@@ -132,14 +147,11 @@ class Judge:
         self.tree, self.kinds = TemplateTree(), {}
         for kind, templates in (mined or {}).items():
             for t in templates:
-                path = self.tree.path(t)
-                self.tree.leaves.setdefault(path, []).append(t)
-                self.kinds.setdefault(path, []).append(kind)
+                self.kinds.setdefault(self.tree.hold(t), []).append(kind)
 
     def verdict(self, message: str) -> str:
         if self.kinds:
-            tokens = TemplateTree.tokens(message)
-            if tokens and (got := self.tree.find(tokens)):
+            if got := self.tree.match(message):
                 return self.kinds[got[0]][got[1]]
         masked = _CODED.sub("#", message.lower())
         words = _WORD.findall(masked)
@@ -206,13 +218,15 @@ def classify_text(text: str, tree: Judge) -> str | None:
     return None
 
 
-def sentences(text: str) -> list[list[str | None]]:
-    """The tokens of the messages that are sentences: three words or more, one of them a function word that no menu entry has."""
-    out = []
+def sentences(text: str, most: int) -> list[list[str | None]]:
+    """The tokens of the messages that are sentences: three words or more, one of them a function word; ``most`` and one more at most."""
+    out: list[list[str | None]] = []
     for m in messages(text):
         t = TemplateTree.tokens(m)
         if len(t) >= 3 and not FUNCTION_WORDS.isdisjoint(w.strip(".,;:!?") for w in t):
             out.append(t)
+            if len(out) > most:
+                break
     return out
 
 
@@ -233,7 +247,7 @@ def mined(docs: DataFrame) -> DataFrame:
         tree = TemplateTree()
         for b in slices(batches, "text"):
             for t in b.column(0).to_pylist():
-                own = sentences(t)
+                own = sentences(t, FEW)
                 if 0 < len(own) <= FEW:
                     for m in own:
                         tree.add(m, 1, 0)
@@ -289,15 +303,14 @@ def judged(docs: DataFrame, known: frozenset[str]) -> Iterator[dict[str, list[li
             tree = TemplateTree()
             at: dict[Path, list[int]] = {}
             for i, t in enumerate(held.value):
-                tree.leaves.setdefault(tree.path(t), []).append(t)
+                tree.hold(t)
                 at.setdefault(tree.path(t), []).append(i)
             seen = np.zeros((len(held.value), 2), np.int64)
             for b in slices(batches, "text"):
                 for t in b.column(0).to_pylist():
-                    own = sentences(t)
-                    met = {at[g[0]][g[1]] for m in own if (g := tree.find(m))}
-                    for i in met:
-                        seen[i, 0 if len(own) <= FEW else 1] += 1
+                    met = {at[g[0]][g[1]] for m in messages(t) if (g := tree.match(m))}
+                    if met:
+                        seen[list(met), 0 if len(sentences(t, FEW)) <= FEW else 1] += 1
             some = np.flatnonzero(seen.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(seen[some, 0]), pa.array(seen[some, 1])], ["i", "few", "other"])
 
