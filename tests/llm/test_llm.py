@@ -418,10 +418,26 @@ def test_noise(spark):
     assert ocr.noise(chunks(spark, rows).limit(0)).count() == 0
 
 
-def test_line_model_learns_within_its_prior():
+def test_line_model_labels_by_layout():
+    r = ocr.Reader({}, frozenset(), ocr.LineModel())
+    names = lambda lines, titles=frozenset(): [ocr.STATES[s] for s in r.label(lines, titles)]
+    assert names(["the pump is polished and", "12", "removed from the gate"]) == ["body", "page", "body"]
+    assert names(["the numbers", "12", "511", "34", "90"])[1:] == ["table"] * 4
+    assert names(["the pump is pol-", "ished and removed"]) == ["break", "body"]
+    title = "Works manual 13 A-20"
+    assert names([title, "the pump is polished"]) == ["body", "body"] and names([title, "the pump is polished"], frozenset({ocr.fold(title)})) == ["header", "body"]
+    assert names(["some text", "", "some text"])[1] == "gap"
     m = ocr.LineModel()
-    assert [ocr.STATES[s] for s in m.decode([0, 1, 0])] == ["body", "page", "body"] and ocr.STATES[m.decode([0, 1, 1, 1])[2]] == "table"
-    assert ocr.LineModel().fit([[0, 1, 0], [3, 0, 0]] * 20).decode([3, 0, 2])[0] == 2
+    page = [r.sequence(["the pump is polished and", "- 12 -", "removed from the gate"], frozenset())] * 400
+    before = m.emission(page[0][1])[ocr.PAGE]
+    assert m.fit(page).emission(page[0][1])[ocr.PAGE] > before and m.decode(page[0]) == [0, ocr.PAGE, 0]
+
+
+def test_words_of_sections_and_tables_count(spark):
+    """A word that only sections and tables hold often is no misread one."""
+    rows = [(f"c{i}", "p", "d", "il ne faut pas ouvrir " * 5, 1, "s") for i in range(40)] + [(f"t{i}", None, "d", "Pos 12\nPos 13", 1, "s") for i in range(40)] + [("x", "p", "d", "voir Pos 7 du plan", 1, "s")]
+    got = ocr.noise(spark.createDataFrame(rows, CHUNK)).where("noise_type = 'misread'")
+    assert got.isEmpty()
 
 
 # 8 and 9 tokens
