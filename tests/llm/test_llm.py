@@ -206,11 +206,12 @@ def test_pii_types(spark):
         ("full", "Witness: Dagny Ostrevant"), ("rev", "OSTREVANT, Dagny opened it"), ("init", "As agreed with R. Ostrevant, it stays."), ("alone", "ostrevant@korvix.test and the Titan Corvane press"), ("null", None), ("empty", ""),
     ]
     rows += [(f"t{i}", t) for i, t in enumerate(["Mr Ostrevant", "Dagny OSTREVANT", "Dagny MARCHETANE", "Frau Marchetane"])]
-    found = pii.detections(chunks(spark, rows + rows[:1]), pii.Finder(*pii.lexicons(chunks(spark, rows))))
+    rows += [("bare", "Call 5551234567 now"), ("free", "or dial 1-800-555-0199 at night"), ("ssn", "SSN 123456789"), ("cyr", "Ответ даёт г-н Остревант."), ("count", "The counter shows 5551234567 turns.")]
+    found = pii.finds(chunks(spark, rows + rows[:1]), pii.Finder(*pii.lexicons(chunks(spark, rows))))
     got: dict = {}
     for r in found.collect():
-        got.setdefault(r.chunk_id, set()).add(r.pii_type)
-    want = {"mail": {"EMAIL"}, "at": {"EMAIL"}, "phone": {"PHONE"}, "id": {"ID_NUMBER"}, "pass": {"ID_NUMBER"}, "addr": {"ADDRESS"}, "box": {"ADDRESS"}, "alone": {"EMAIL"}} | {k: {"NAME"} for k in ("name", "full", "rev", "init", "t0", "t1", "t2", "t3")}
+        got.setdefault(r.chunk_id, set()).add(r.kind)
+    want = {"mail": {"EMAIL"}, "at": {"EMAIL"}, "phone": {"PHONE"}, "id": {"ID_NUMBER"}, "pass": {"ID_NUMBER"}, "addr": {"ADDRESS"}, "box": {"ADDRESS"}, "alone": {"EMAIL"}} | {k: {"NAME"} for k in ("name", "full", "rev", "init", "t0", "t1", "t2", "t3", "cyr")} | {"bare": {"PHONE"}, "free": {"PHONE"}, "ssn": {"ID_NUMBER"}}
     assert got == want
 
 
@@ -229,6 +230,21 @@ def test_surrogates(spark):
     assert phone(got["a"].surrogate_text) == phone(got["b"].surrogate_text)[:1] and len(set(phone(got["b"].surrogate_text))) == 2
     s = pii.Surrogates(b"k")
     assert len({s.digits(f"{i:04}", "PHONE") for i in range(10_000)}) == 10_000
+    assert len({s.initial(c, "0") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}) == 26
+    assert s.of("Frau Dagny Ostrevant", "NAME").split()[1].endswith("a") and s.of("Frau Dagny Ostrevant", "NAME").startswith("Frau ")
+    assert not s.of("Mr Dagna Ostrevant", "NAME").split()[1].endswith("a") and s.of("Mr OSTREVANT", "NAME").isupper() is False and s.of("Mr OSTREVANT", "NAME").split()[1].isupper()
+    assert all("а" <= c <= "я" for c in s.word("остревант", "0")) and s.of("R. Ostrevant", "NAME").split()[1] == s.of("Mr Ostrevant", "NAME").split()[1]
+    assert s.of("Mr Ostrevant", "NAME") != pii.Surrogates(b"other").of("Mr Ostrevant", "NAME")
+
+
+def test_surrogates_meet_neither_each_other_nor_real_ones(spark, monkeypatch):
+    """Words from a space so small that many meet at first are drawn until all are distinct."""
+    monkeypatch.setattr(pii.Surrogates, "word", lambda self, w, salt, gender="": "abcdefghijklmnopqrstuvwxyz"[self.draw("w", w.lower(), salt) % 26] * 3)
+    names = ["Mr " + w for w in ("Aaa", "Bbb", "Ostrevant", "Torrelmo", "Marchetane", "Kelvane", "Dorvane", "Selmark", "Tarnow", "Vireo")]
+    found = spark.createDataFrame([("c", 0, 1, "NAME", n) for n in names + names[:2]] + [("c", 0, 1, "NAME", "MR OSTREVANT")], pii.FINDS)
+    got = {r.entity: r.surrogate for r in pii.replacements(found, b"k").collect()}
+    assert set(got) == {*names, "MR OSTREVANT"} and len({v.lower() for v in got.values()}) == len(names)
+    assert not {v.lower() for v in got.values()} & {n.lower() for n in names}
 
 
 # 4 vectors
