@@ -230,6 +230,8 @@ def test_surrogates(spark):
     assert phone(got["a"].surrogate_text) == phone(got["b"].surrogate_text)[:1] and len(set(phone(got["b"].surrogate_text))) == 2
     s = pii.Surrogates(b"k")
     assert len({s.digits(f"{i:04}", "PHONE") for i in range(10_000)}) == 10_000
+    spelt = s.of("anna[at]korvix[dot]example", "EMAIL")
+    assert "anna" not in spelt and "korvix" not in spelt and spelt.endswith("[dot]example") and "[at]" in spelt
     assert len({s.initial(c, "0") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}) == 26
     assert s.of("Frau Dagny Ostrevant", "NAME").split()[1].endswith("a") and s.of("Frau Dagny Ostrevant", "NAME").startswith("Frau ")
     assert not s.of("Mr Dagna Ostrevant", "NAME").split()[1].endswith("a") and s.of("Mr OSTREVANT", "NAME").isupper() is False and s.of("Mr OSTREVANT", "NAME").split()[1].isupper()
