@@ -124,7 +124,8 @@ def keyed(texts: DataFrame, make: Keys) -> DataFrame:
 def pairs_of_runs(keys: DataFrame, cap: int | None = BUCKET_CAP, agree: int = AGREE) -> DataFrame:
     """(a, b) with a < b of classes that share a key and ``agree`` nibbles; (cls, null) for classes of a key with more than ``cap``.
 
-    One shuffle on the key, one sort; the runs of equal keys are read off the sorted stream.
+    One shuffle on the key, one sort; the runs of equal keys are read off the sorted stream. With a cap a task holds the rows
+    of one key up to it; without one the keys must be small (``split_hot``).
     """
 
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,7 +161,7 @@ def pairs_of_runs(keys: DataFrame, cap: int | None = BUCKET_CAP, agree: int = AG
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last key, which may go on in the next batch
-        last = None
+        last, over = None, False  # over: the last key has more classes than the cap, which are passed on as they come
 
         def close() -> Iterator[pa.RecordBatch]:
             whole = np.concatenate(held)
@@ -173,15 +174,22 @@ def pairs_of_runs(keys: DataFrame, cap: int | None = BUCKET_CAP, agree: int = AG
             rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
             ends = np.concatenate((np.flatnonzero(np.diff(key)) + 1, [len(key)]))
             if last is not None and key[0] == last:
-                held.append(rows[: ends[0]])
+                if over:
+                    yield from send(np.unique(rows[: ends[0], 0]), None)
+                else:
+                    held.append(rows[: ends[0]])
                 if len(held) > 8:  # copies of few classes
                     whole = np.concatenate(held)
                     held = [whole[np.unique(whole[:, 0], return_index=True)[1]]]
+                    if cap and len(held[0]) > cap:
+                        yield from send(held[0][:, 0], None)
+                        held, over = [], True
                 if len(ends) == 1:
                     continue
                 rows, ends = rows[ends[0] :], ends[1:] - ends[0]
             if held:
                 yield from close()
+            over = False
             tail = ends[-2] if len(ends) > 1 else 0
             if tail:
                 yield from emit(rows[:tail], ends[:-1])
@@ -193,6 +201,18 @@ def pairs_of_runs(keys: DataFrame, cap: int | None = BUCKET_CAP, agree: int = AG
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
+def split_hot(keys: DataFrame, most: int = BUCKET_CAP) -> DataFrame:
+    """``keys`` (key, cls, ...) with every key of more than ``most`` rows cut into cells by class, and a key for every two cells.
+
+    Each two classes of a key still share one, and no key holds many more than ``most`` rows.
+    """
+    count = keys.groupBy("key").agg(F.ceil(F.count("*") / (most / 2)).alias("m")).where(F.col("m") > 2)
+    hot = keys.join(count, "key").withColumn("i", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("m")))
+    hot = hot.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))).where("i <> j")
+    hot = hot.withColumn("key", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))).select(keys.columns)
+    return keys.join(count, "key", "left_anti").select(keys.columns).unionByName(hot)
+
+
 def prefix_keys(texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """(key, cls): the rarest word pairs of each class, as many as two texts of the likeness must have in common one."""
 
@@ -217,7 +237,7 @@ def candidates(texts: DataFrame, make: Keys, name: str, likeness: float = LIKENE
     over = found.where(F.col("b").isNull()).select(F.col("a").alias("cls")).distinct()
     pairs = found.where(F.col("b").isNotNull())
     if not over.isEmpty():
-        pairs = pairs.unionByName(pairs_of_runs(prefix_keys(texts.join(over, "cls", "left_semi").select("scope", "cls", "text"), likeness), None, 0))
+        pairs = pairs.unionByName(pairs_of_runs(split_hot(stored(prefix_keys(texts.join(over, "cls", "left_semi").select("scope", "cls", "text"), likeness), f"{name}-prefixes")), None, 0))
     return pairs.distinct()
 
 

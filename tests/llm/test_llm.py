@@ -340,6 +340,24 @@ def test_one_bucket_above_the_cap(spark):
     assert want and {(r.a, r.b) for r in shingle.verified(pairs, texts).collect()} == want
 
 
+def test_hot_keys_are_split(spark):
+    rows = [(k, c) for k in (1, 2) for c in range(100 if k == 1 else 5)]
+    split = shingle.split_hot(spark.createDataFrame(rows, "key bigint, cls bigint"), 16)
+    assert max(r["count"] for r in split.groupBy("key").count().collect()) <= 32
+    got = {(r.a, r.b) for r in shingle.pairs_of_runs(split, None, 0).collect()}
+    assert got == set(combinations(range(100), 2))
+
+
+def test_keys_above_the_cap_are_passed_on(spark):
+    rows = [(1, c, 0, 0) for c in range(300)] * 2 + [(2, 500, 0, 0), (2, 501, 0, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = [(r.a, r.b) for r in shingle.pairs_of_runs(spark.createDataFrame(rows, "key bigint, cls bigint, s0 bigint, s1 bigint"), 20, 0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {a for a, b in got if b is None} == set(range(300)) and {(a, b) for a, b in got if b is not None} == {(500, 501)}
+
+
 def test_runs_over_batches(spark):
     rng = random.Random(9)
     rows = [(rng.randint(0, 12), rng.randint(0, 60), 0, 0) for _ in range(400)]
