@@ -8,6 +8,7 @@ error and the others go on. Chat is a bounded loop over retrieval, generation an
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -32,6 +33,9 @@ STAGES = (
     ("incremental", 70, "CHUNKING"), ("metadata", 75, "METADATA"), ("embed", 90, "EMBEDDING"), ("index", 100, "INDEXING"),
 )
 STAGE_SECONDS = 300.0
+#: How a batch is worked on and cut; other ways are not known.
+STRATEGIES = {"processing": "sequential", "chunking": "hierarchical"}
+Step = Callable[[dict, str], dict]
 RESPONSE_SECONDS, VECTOR_SECONDS = 3600, 86400
 NOT_ENOUGH = "I don't have enough verified information in the knowledge base to answer this question."
 
@@ -80,6 +84,18 @@ class Engine:
         self.spark, self.store, self.services = spark, Store(spark, root), services or models.Services()
         self.config_dir = config_dir
         self.index = SearchIndex(spark, f"{self.store.root}/index")
+        #: Stages in order; ``steps`` holds those of another make by name: (parts held, folder) -> parts changed.
+        self.stages: list[tuple[str, int, str]] = list(STAGES)
+        self.steps: dict[str, Step] = {}
+
+    def register(self, name: str, step: Step, progress: int, state: str, after: str | None = None) -> None:
+        """Put a stage in the place of the one of its name, or behind the stage ``after``."""
+        self.steps[name] = step
+        names = [s[0] for s in self.stages]
+        if name in names:
+            self.stages[names.index(name)] = (name, progress, state)
+        else:
+            self.stages.insert(names.index(after) + 1 if after else len(names), (name, progress, state))
 
     # documents in
 
@@ -149,13 +165,13 @@ class Engine:
             self.store.append(f"{base}/start/docs", given.select("document_id", "filename", "content", "tenant_id", "assistant_id", "knowledge_base_id", "industry"))
         held = {"docs": self._part(f"{base}/start/docs")}
         done: dict[str, bool] = {}
-        for name, progress, state in STAGES:
+        for name, progress, state in self.stages:
             stop = self._cancelled() if self.store.exists("jobs") else None
             if stop is not None:
                 held["docs"] = held["docs"].join(stop, "document_id", "left_anti")
             if not self.store.exists(f"{base}/{name}/_done"):
                 self._job_state(held["docs"], state, name, progress)
-                got = self._timed(lambda name=name, held=held: getattr(self, f"_stage_{name}")(held, f"{base}/{name}"), name, seconds, held["docs"])
+                got = self._timed(lambda name=name, held=held: self.steps.get(name, getattr(self, f"_stage_{name}", None))(held, f"{base}/{name}"), name, seconds, held["docs"])
                 for part, df in got.items():
                     if df is not None:
                         self.store.append(f"{base}/{name}/{part}", df)
@@ -262,6 +278,19 @@ class Engine:
         return {"chunks": metadata.enrich_all(own, configs).drop("metadata")}
 
     def _stage_embed(self, held: dict, at: str) -> dict:
+        """Cached vectors and new ones; a used-up quota is waited for once, with the jobs saying so."""
+        try:
+            return self._embedded(held, at)
+        except Exception as e:
+            found = re.search(r"quota used up, again in ([\d.]+) s", str(e))
+            if not found:
+                raise
+        self._job_state(held["docs"], "WAITING_FOR_EMBEDDING_QUOTA", None, None)
+        time.sleep(float(found[1]))
+        self._job_state(held["docs"], "EMBEDDING", None, None)
+        return self._embedded(held, f"{at}/again")
+
+    def _embedded(self, held: dict, at: str) -> dict:
         cache = self.store.read("embedding_cache", "cache_key") if self.store.exists("embedding_cache") else self.spark.createDataFrame([], "cache_key string, vector array<float>")
         embedder = self.services.embedder
         out, new = embed.embedded(held["chunks"], cache, "default", "1", embedder)

@@ -9,7 +9,9 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import numpy as np
+from pyspark.sql import Column
 
+from ..functions.text import private_types, redacted
 from .answer import NO_EVIDENCE
 from .embed import feature_hashing
 
@@ -177,6 +179,17 @@ def generated(query: str, evidence: list[dict], model: Callable[[str], str] | No
     return said.strip() or NOTHING_SAID
 
 
+class PIIDetector(Protocol):
+    """Gives the redacted text and the types found, as columns of a column of text."""
+
+    def __call__(self, text: Column) -> tuple[Column, Column]: ...
+
+
+def private_patterns(text: Column) -> tuple[Column, Column]:
+    """The detector by the fixed patterns."""
+    return redacted(text), private_types(text)
+
+
 @dataclass
 class Services:
     """The registry of models; each may be replaced."""
@@ -185,5 +198,6 @@ class Services:
     image_embedder: Embedder = image_hashing
     rerank: Callable[[str, list[str]], list[float]] = lexical_rerank
     generate: Callable[[str], str] | None = None
+    pii: PIIDetector = private_patterns
     look: Callable[[bytes], str] | None = None
     policy: Callable[[dict], bool | dict] | None = None

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, dedup, embed, metadata, models, tables
-from ..sources import files, parse
+from ..session import shared_root
+from ..sources import export, files, parse
 from .common import CHUNKS_ONCE, chunks_once, kept, table
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -242,6 +245,19 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("parent_id").isNull()).alias("parents"), F.countDistinct("chunk_id").alias("ids"))
 
 
+def processed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents parsed, written as JSON by document and read back: pages and blocks of each."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    # a few large folders: the tenant stands for the document, so that files do not become many
+    got = parse.parsed(docs.select("doc_id", F.encode("text", "UTF-8").alias("content")), primary=parse.plain, key="doc_id").where("error is null")
+    rows = got.select(F.concat(F.lit("bucket_"), F.pmod("doc_id", F.lit(16))).alias("document_id"), "pages")
+    at = f"{shared_root(spark)}/lodestone/processed-{uuid.uuid4().hex}"
+    export.save_processed(rows, at)
+    back = export.load_processed(spark, at)
+    size = F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p["text_blocks"]))
+    return back.groupBy("document_id").agg(F.sum(F.size("pages")).alias("pages"), F.sum(size).alias("blocks"), F.count("*").alias("documents"))
+
+
 def media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table and figure chunks of a page with every kind of them."""
     page = spark.sql("""SELECT 'd1' AS document_id, 'f.pdf' AS filename, 2 AS page_number,
@@ -271,7 +287,7 @@ def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("path", F.lit("").alias("reason")).unionByName(bad.select("path", "reason"))
 
 
-QUERIES = {f.__name__: f for f in (content_hash_dups, file_hash_dups, parent_chunks, child_chunks, chunk_type_counts, page_counts, chunk_partition, metadata_enrich, minhash_near, near_candidates, version_classification, pii_redact, token_estimates, embed_cache_hits, embed_new, embed_images, box_unions, upsert_chunks, html_parse, parsed_pages, figure_vision, page_chunks, vision_json, media_chunks, ocr_gate, file_checks)}
+QUERIES = {f.__name__: f for f in (content_hash_dups, file_hash_dups, parent_chunks, child_chunks, chunk_type_counts, page_counts, chunk_partition, metadata_enrich, minhash_near, near_candidates, version_classification, pii_redact, token_estimates, embed_cache_hits, embed_new, embed_images, box_unions, upsert_chunks, html_parse, parsed_pages, figure_vision, page_chunks, processed_pages, vision_json, media_chunks, ocr_gate, file_checks)}
 # What the configuration of the industry says.
 _ENTITIES = '["PhysicalComponent","SystemFaultCode","Procedure","MaintenanceTask","SafetyWarning","PartNumber","Assembly","Specification"]'
 _RELATIONS = '["SUPPLIES_FLUID_TO","WIRED_TO","TRIGGERS","REQUIRES","REPLACES","MOUNTED_ON","CONNECTED_TO","PRECEDED_BY"]'
@@ -301,6 +317,8 @@ SQL = {
       b AS (SELECT page, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li|td|th|pre)\\b[^>]*>(.*?)</(?:h[1-6]|p|li|td|th|pre)>', 1), lambda x: {SQUEEZE % "regexp_replace(x, '<[^>]*>', ' ', 'g')"}), lambda x: x <> '') AS l FROM d),
       u AS (SELECT page, unnest(l) AS x, unnest(range(len(l))) AS n FROM b)
       SELECT page, CAST(n AS INTEGER) AS block_no, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS block FROM u""",
+    "processed_pages": rf"""WITH d AS (SELECT 'bucket_' || (doc_id % 16) AS document_id, CAST(1 + length(text) - length(replace(text, chr(12), '')) AS BIGINT) AS p, len(list_filter(regexp_split_to_array(text, '[\n\f]'), lambda b: {STRIP % 'b'} <> '')) AS n FROM documents WHERE text IS NOT NULL)
+      SELECT document_id, sum(p) AS pages, sum(n) AS blocks, count(*) AS documents FROM d GROUP BY document_id""",
     "figure_vision": "SELECT * FROM (VALUES (1,true,'pump','P1'),(2,false,'',''),(3,false,'',''),(4,true,'',''),(5,true,'tank','')) v(figure, analysed, summary, components)",
     "box_unions": f"WITH {CHUNKS_ONCE} SELECT document_id, page_number, min(bounding_box[1]) AS x0, min(bounding_box[2]) AS y0, max(bounding_box[3]) AS x1, max(bounding_box[4]) AS y1 FROM chunks_once WHERE len(bounding_box) >= 4 GROUP BY document_id, page_number",
     "upsert_chunks": f"WITH {CHUNKS_ONCE}, old AS (SELECT id FROM documents WHERE batch_no <= 6) SELECT chunk_id, document_id, content_hash, CASE WHEN document_id IN (SELECT id FROM old) THEN 'kept' ELSE section END AS section, context_prefix FROM chunks_once",

@@ -129,6 +129,39 @@ def test_one_sink_down_is_partial(spark, monkeypatch):
     assert (row.status, row.progress_percent) == ("PARTIAL", 95) and e.store.log("indexing_state").first().graph_status == "FAILED" and e.base_version(E.Tenant()) == 1
 
 
+def test_quota_is_waited_for_and_stages_are_registered(spark, tmp_path):
+    flag = tmp_path / "asked"
+
+    def limited(texts):
+        if not flag.exists():
+            flag.write_text("x")
+            raise models.QuotaError(0.1)
+        return embed.feature_hashing(texts)
+
+    e = E.Engine(spark, services=models.Services(embedder=limited))
+    e.upload(uploads(spark, ("a.txt", b"some text to mail@korvix.io")))
+    seen = []
+    e.register("mark", lambda held, at: seen.append(held["chunks"].count()) or {}, 72, "METADATA", after="incremental")
+    assert e.ingest().first().status == "COMPLETED" and seen and flag.exists()
+    assert "WAITING_FOR_EMBEDDING_QUOTA" in {r.status for r in e.store.log("jobs").select("status").distinct().collect()}
+    text, kinds = e.services.pii(F.col("content"))
+    row = e.store.read("chunks", "chunk_id").select(text.alias("t"), kinds.alias("k")).first()
+    assert row.t == "some text to [REDACTED_EMAIL]" and row.k == ["EMAIL"] and E.STRATEGIES["chunking"] == "hierarchical"
+
+
+def test_files_by_document(spark, tmp_path):
+    from lodestone.sources import export
+
+    parsed = parse.parsed(spark.createDataFrame([("d1", b"a\nb\fc"), ("d2", b"x")], "document_id string, content binary"))
+    export.save_processed(parsed, str(tmp_path / "p"))
+    export.save_processed(parsed.where("document_id = 'd1'"), str(tmp_path / "p"))  # replaces that one alone
+    assert {r.document_id: len(r.pages) for r in export.load_processed(spark, str(tmp_path / "p")).collect()} == {"d1": 2, "d2": 1}
+    assert export.load_processed(spark, str(tmp_path / "p"), "d2").first().pages[0].text_blocks[0].text == "x"
+    export.save_chunk_texts(spark.createDataFrame([("d1", "d1::p1", "two\nlines"), ("d1", "d1::p2", None)], "document_id string, chunk_id string, content string"), str(tmp_path / "c"))
+    assert spark.read.text(str(tmp_path / "c" / "document_id=d1" / "chunk=d1__p1")).count() == 2
+    assert export.exists(spark, str(tmp_path / "c")) and not export.exists(spark, str(tmp_path / "none"))
+
+
 def test_store(spark):
     s = Store(spark)
     s.append("t", spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, keep string"))
