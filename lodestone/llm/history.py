@@ -158,8 +158,11 @@ class HashForest:
             fs, at = self._folder(self.name(span).rpartition("/")[2])
             fs.delete(at, True)
 
-    def search(self, new: DataFrame, likeness: float | None = None) -> DataFrame:
-        """(new, old) classes that share a node of the depth the recall needs and agree in their sketches, to be verified."""
+    def search(self, new: DataFrame, likeness: float | None = None, size: int | None = None) -> DataFrame:
+        """(new, old) classes that share a node of the depth the recall needs and agree in their sketches, to be verified.
+
+        ``size`` is the number of entries or more, for the size of the bitmap; they are counted where it is not given.
+        """
         runs = self.runs()
         self.read_bytes = 0
         out = self.spark.createDataFrame([], "new bigint, old bigint")
@@ -168,7 +171,7 @@ class HashForest:
         shift = _LEVEL * (DEPTH - depth_for(likeness or self.likeness, self.recall))
         node = F.shiftright("label", shift).alias("node")
         self.read_bytes = sum(fs.getContentSummary(at).getLength() for fs, at in (self._folder(self.name(s).rpartition("/")[2]) for s in runs))
-        n = new.count()
+        n = new.count() if size is None else size
         passes = min(TREES, max(1, -(-n * BITS_A_NODE // MOST_BITS)))
         bits = LEAST_BITS
         while bits < min(MOST_BITS, n // passes * BITS_A_NODE):
@@ -214,11 +217,11 @@ def repeats(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     forest = HashForest(spark, f"{base}/forest", likeness)
     pairs = spark.createDataFrame([], "new bigint, old bigint")
     found = []
-    for r in arrived.select("batch_no").distinct().orderBy("batch_no").collect():  # one row a batch
+    for r in arrived.groupBy("batch_no").agg(F.count("cls").alias("n")).orderBy("batch_no").collect():  # one row a batch
         batch = arrived.where(F.col("batch_no") == r.batch_no)
         if forest.runs():
             found.append(f"{base}/found/{r.batch_no}")
-            forest.search(entries(batch)).write.parquet(found[-1])
+            forest.search(entries(batch), size=r.n * TREES).write.parquet(found[-1])
         forest.append(entries(batch.where("accepted")))
     if found:
         pairs = spark.read.schema(pairs.schema).parquet(*found)
