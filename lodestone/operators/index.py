@@ -24,6 +24,7 @@ ACCESS = ("tenant_id", "knowledge_base_id", "access_classification")
 class SearchIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self._totals: tuple[int, float] | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -48,15 +49,22 @@ class SearchIndex:
         self._write(child.select("content").select(F.size(search_terms(F.col("content"))).alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("avg")), "totals")
         self._write(vectors.select("chunk_id", "vector").join(own.select("chunk_id", *ACCESS), "chunk_id").repartitionByRange("tenant_id", "chunk_id").sortWithinPartitions("tenant_id"), "vectors")
         self._write(child.select("chunk_id", "hierarchy_path", *ACCESS).repartitionByRange("tenant_id", "chunk_id").sortWithinPartitions("tenant_id", "chunk_id"), "paths")
+        self._totals = None
         return self
 
+    def totals(self) -> tuple[int, float]:
+        """Children and their mean length; one row, read once."""
+        if self._totals is None:
+            row = self.read("totals").first()
+            self._totals = row.n, row.avg or 1.0
+        return self._totals
+
     def bm25(self, queries: DataFrame, k: int) -> DataFrame:
         """BM25 from the postings of the asked terms; ``queries`` has text, tenant_id, knowledge_base_id and levels."""
         asked = queries.select("query_id", "tenant_id", "knowledge_base_id", "levels", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
         asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
         buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
-        total = self.read("totals").first()
-        n, avg = total.n, total.avg or 1.0
+        n, avg = self.totals()
         q = asked.select("query_id", "bucket", "term", F.col("tenant_id").alias("t"), F.col("knowledge_base_id").alias("kb"), "levels")
         df = self.read("terms").where(F.col("bucket").isin(buckets)).join(q.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
@@ -69,11 +77,13 @@ class SearchIndex:
     def dense(self, queries: DataFrame, k: int) -> DataFrame:
         """Exact cosine top-k per query over what it may see; queries travel in blocks, vectors are read once a block."""
         spark = self.spark
-        blocks = max(1, -(-queries.count() // search.QUERY_BLOCK))
-        own = queries.select("query_id", "tenant_id", "knowledge_base_id", "levels", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).where("vector is not null")
+        own = queries.select("query_id", "tenant_id", "knowledge_base_id", "levels", "vector").where("vector is not null")
+        few = own.limit(search.QUERY_BLOCK + 1).collect()
+        blocks = 1 if len(few) <= search.QUERY_BLOCK else -(-own.count() // search.QUERY_BLOCK)
+        own = own.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
         out = None
         for block in range(blocks):
-            got = own.where(F.col("b") == block).collect()  # QUERY_BLOCK rows or so
+            got = few if blocks == 1 else own.where(F.col("b") == block).collect()  # QUERY_BLOCK rows or so
             by: dict[str, list] = {}
             for r in got:
                 by.setdefault(r.tenant_id, []).append((r.query_id, r.knowledge_base_id, frozenset(r.levels or ()), np.array(r.vector, np.float64)))
