@@ -18,6 +18,8 @@ from ..functions.text import search_terms
 from . import search
 
 BUCKETS = 16
+#: Terms up to which a scan is told which ones it is for.
+MOST_TERMS = 2000
 ACCESS = ("tenant_id", "knowledge_base_id", "access_classification")
 
 
@@ -25,11 +27,15 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self._totals: tuple[int, float] | None = None
+        self._frames: dict[str, DataFrame] = {}  # footers and folders are looked at once
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._frames[name]
 
     def _write(self, df: DataFrame, name: str, *by: str) -> None:
+        self._frames.pop(name, None)
         out = df.write.option("compression", "zstd").mode("overwrite")
         (out.partitionBy(*by) if by else out).parquet(f"{self.path}/{name}")
 
@@ -63,13 +69,18 @@ class SearchIndex:
         """BM25 from the postings of the asked terms; ``queries`` has text, tenant_id, knowledge_base_id and levels."""
         asked = queries.select("query_id", "tenant_id", "knowledge_base_id", "levels", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
         asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
+        few = asked.select("bucket", "term").distinct().limit(MOST_TERMS + 1).collect()
+        if len(few) <= MOST_TERMS:  # the terms themselves reach the scan, of which the folders are sorted by term
+            buckets = sorted({r.bucket for r in few})
+            wanted = F.col("bucket").isin(buckets) & F.col("term").isin([r.term for r in few])
+        else:
+            wanted = F.lit(True)
         n, avg = self.totals()
         q = asked.select("query_id", "bucket", "term", F.col("tenant_id").alias("t"), F.col("knowledge_base_id").alias("kb"), "levels")
-        df = self.read("terms").where(F.col("bucket").isin(buckets)).join(q.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        df = self.read("terms").where(wanted).join(q.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
         q = q.join(df.select("bucket", "term", idf), ["bucket", "term"])
-        hit = self.read("postings").where(F.col("bucket").isin(buckets)).join(q, ["bucket", "term"])
+        hit = self.read("postings").where(wanted).join(q, ["bucket", "term"])
         hit = hit.where((F.col("tenant_id") == F.col("t")) & (F.col("kb").isNull() | (F.col("kb") == F.col("knowledge_base_id"))) & F.array_contains("levels", F.col("access_classification")))
         part = F.col("idf") * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("size") / F.lit(avg)))
         return search.top(hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), k)

@@ -97,7 +97,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question alone, the first: what a user waits for."""
     index, q = indexed(spark, sf_dir)
-    one = q.orderBy("query_id").limit(1)
+    one = spark.createDataFrame([q.orderBy("query_id").first()], q.schema)
     fused = search.rrf(index.dense(one, 2 * TOP_K), index.bm25(one, 2 * TOP_K), index.graph(one))
     return search.rerank(fused, one, index.read("chunks").select("chunk_id", "content"), TOP_K)
 
