@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import shuffle_width, slices, stored
 
@@ -82,6 +81,7 @@ def enough_words(text: Column) -> Column:
 NIBBLES, AGREE = 32, 14
 
 Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def sketched(sig: np.ndarray) -> np.ndarray:
@@ -121,16 +121,18 @@ def keyed(texts: DataFrame, make: Keys) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, cls bigint, s0 bigint, s1 bigint")
 
 
-def pairs_of_runs(keys: DataFrame, cap: int | None = BUCKET_CAP, agree: int = AGREE) -> DataFrame:
+def pairs_of_runs(keys: DataFrame, cap: int | None = BUCKET_CAP, agree: int = AGREE, test: Test | None = None) -> DataFrame:
     """(a, b) with a < b of classes that share a key and ``agree`` nibbles; (cls, null) for classes of a key with more than ``cap``.
 
-    One shuffle on the key, one sort; the runs of equal keys are read off the sorted stream. With a cap a task holds the rows
+    A ``test`` of the columns after the class takes the place of the nibbles. One shuffle on the key, one sort; the runs of equal keys are read off the sorted stream. With a cap a task holds the rows
     of one key up to it; without one the keys must be small (``split_hot``).
     """
 
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = a[:, 0] != b[:, 0]
-        if agree:
+        if test:
+            ok[ok] = test(a[ok, 1:], b[ok, 1:])
+        elif agree:
             ok[ok] = agreeing(a[ok, 1:].view(np.uint64), b[ok, 1:].view(np.uint64)) >= agree
         return ok
 
@@ -213,34 +215,127 @@ def split_hot(keys: DataFrame, most: int = BUCKET_CAP) -> DataFrame:
     return keys.join(count, "key", "left_anti").select(keys.columns).unionByName(hot)
 
 
+#: Counters of the word pairs that order the prefixes, and words of the parities of a set.
+COUNTERS, PARITIES = 1 << 21, 4
+
+
+def sets(b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different word pairs of each text of a batch that has enough words, and which texts these are."""
+    pairs, starts, which = bigrams(b.column(b.schema.get_field_index("text")).to_pylist())
+    return [np.unique(pairs[s:e]) for s, e in zip(starts, [*starts[1:], len(pairs)])], which
+
+
+def parities(own: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITIES): 64 bits a word, each the parity of the number of elements that fall on it.
+
+    Two sets differ in at least as many elements as their parities in bits.
+    """
+    flat = np.concatenate(own)
+    starts = np.cumsum([0, *map(len, own[:-1])])
+    bit, word = np.uint64(1) << (flat & np.uint64(63)), (flat >> np.uint64(6)) % np.uint64(PARITIES)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, 0), starts) for w in range(PARITIES)], axis=1).view(np.int64)
+
+
+def counted(texts: DataFrame) -> np.ndarray:
+    """How often the word pairs of each of ``COUNTERS`` hash ranges occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for b in slices(batches, "text"):
+            n += np.bincount(counter(bigrams(b.column(b.schema.get_field_index("text")).to_pylist())[0]), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["at", "n"])
+
+    got = texts.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.uint32)
+    out[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
+def counter(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
 def prefix_keys(texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """(key, cls): the rarest word pairs of each class, as many as two texts of the likeness must have in common one."""
+    """(key, cls, size, place, p0, ...): the rarest word pairs of each class, as many as two texts of the likeness must have in common one.
+
+    Any order of all word pairs gives exact prefixes; this one is by the counters, so that it needs no shuffle of the sets.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(counted(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            scope, cls = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            pairs, starts, which = bigrams(b.column(2).to_pylist())
-            for k, s, e in zip(which, starts, [*starts[1:], len(pairs)]):
-                own = np.unique(pairs[s:e]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), scope[k])), pa.array(np.full(len(own), cls[k])), pa.array(own), pa.array(np.full(len(own), len(own), np.int32))], ["scope", "cls", "pair", "size"])
+            scope, cls = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("scope", "cls"))
+            own, which = sets(b)
+            if not len(which):
+                continue
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            most = size - np.ceil(size * likeness - 1e-9).astype(np.int64) + 1
+            first = [x[np.lexsort((x, held.value[counter(x)]))[:n]] for x, n in zip(own, most)]
+            n = np.fromiter(map(len, first), np.int64, len(first))
+            with np.errstate(over="ignore"):
+                key = mixed(np.concatenate(first) + np.repeat(mixed(scope[which].astype(np.uint64)), n))
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+            rest = [np.repeat(x, n) for x in parities(own).T]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), np.repeat(cls[which], n), np.repeat(size, n), place, *rest)], ["key", "cls", "size", "place", *(f"p{k}" for k in range(PARITIES))])
+
+    return texts.mapInArrow(run, "key bigint, cls bigint, size bigint, place bigint, " + ", ".join(f"p{k} bigint" for k in range(PARITIES)))
+
+
+def reachable(likeness: float) -> Test:
+    """Whether two sets (size, place, p0, ...) whose first common pair is at these places can have the likeness; loses none.
+
+    What both have lies at these places and after them, and they differ in no fewer elements than their parities in bits.
+    """
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = a[:, 0] + b[:, 0]
+        need = np.ceil(both * (likeness / (1 + likeness)) - 1e-9)
+        ok = 1 + np.minimum(a[:, 0] - a[:, 1], b[:, 0] - b[:, 1]) >= need
+        ok[ok] = both[ok] - np.bitwise_count((a[ok, 2:] ^ b[ok, 2:]).view(np.uint64)).sum(axis=1, dtype=np.int64) >= 2 * need[ok]
+        return ok
 
-    sets = texts.dropDuplicates(["scope", "cls"]).mapInArrow(run, "scope bigint, cls bigint, pair bigint, size int")
-    often = sets.groupBy("scope", "pair").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("scope", "cls").orderBy("n", "pair"))
-    ranked = sets.join(often, ["scope", "pair"]).withColumn("r", rank)
-    return ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * likeness) + 1).select(F.xxhash64("scope", "pair").alias("key"), "cls")
+    return test
 
 
 def candidates(texts: DataFrame, make: Keys, name: str, likeness: float = LIKENESS, cap: int = BUCKET_CAP) -> DataFrame:
     """Distinct (a, b) of classes that share a key of ``make`` or, for the keys above ``cap``, a rare word pair."""
     found = stored(pairs_of_runs(keyed(texts, make), cap), f"{name}-candidates")
+    texts.sparkSession.sparkContext._jvm.System.gc()  # what the keys took in the shuffle is free from here on
     over = found.where(F.col("b").isNull()).select(F.col("a").alias("cls")).distinct()
     pairs = found.where(F.col("b").isNotNull())
     if not over.isEmpty():
-        pairs = pairs.unionByName(pairs_of_runs(split_hot(stored(prefix_keys(texts.join(over, "cls", "left_semi").select("scope", "cls", "text"), likeness), f"{name}-prefixes")), None, 0))
+        some = stored(texts.join(over, "cls", "left_semi").select("scope", "cls", "text").dropDuplicates(["scope", "cls"]), f"{name}-hot")
+        pairs = pairs.unionByName(pairs_of_runs(split_hot(stored(prefix_keys(some, likeness), f"{name}-prefixes")), None, 0, reachable(likeness)))
     return pairs.distinct()
 
 
+def possible(pairs: DataFrame, texts: DataFrame, name: str, likeness: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
+    """The ``pairs`` (a, b) that can have the likeness by size and parities, and the texts (cls, text) of all pairs.
+
+    No pair of the likeness is lost; the others are so told apart before texts are sent for each pair.
+    """
+    pairs = stored(pairs, f"{name}-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    names = ["size", *(f"p{k}" for k in range(PARITIES))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            own, which = sets(b)
+            if len(which):
+                size = np.fromiter(map(len, own), np.int64, len(own))
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(which)).columns, *map(pa.array, (size, *parities(own).T))], ["cls", "text", *names])
+
+    own = texts.select("cls", "text").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    own = stored(own.mapInArrow(run, "cls bigint, text string, " + ", ".join(f"{n} bigint" for n in names)), f"{name}-texts")
+    one, two = (own.select(F.col("cls").alias(c), *(F.col(n).alias(c + n) for n in names)) for c in "ab")
+    differ = sum((F.bit_count(F.col(f"ap{k}").bitwiseXOR(F.col(f"bp{k}"))) for k in range(PARITIES)), F.lit(0))
+    both = F.col("asize") + F.col("bsize")
+    need = F.ceil(both * (likeness / (1 + likeness)) - 1e-9)
+    fits = (F.least("asize", "bsize") >= need) & (both - differ >= 2 * need)
+    return stored(pairs.join(one, "a").join(two, "b").where(fits).select("a", "b"), f"{name}-close"), own.select("cls", "text")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """The ``pairs`` (a, b) whose texts (cls, text) have at least ``likeness``, with it."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()

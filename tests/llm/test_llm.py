@@ -358,6 +358,30 @@ def test_keys_above_the_cap_are_passed_on(spark):
     assert {a for a, b in got if b is None} == set(range(300)) and {(a, b) for a, b in got if b is not None} == {(500, 501)}
 
 
+def test_pairs_of_copies_are_written_as_they_come(spark, monkeypatch):
+    """Pairs of chunks are not shuffled, but for chunks that are stored with several contents."""
+    monkeypatch.setattr(neardup, "LISTED", 3)
+    one = " ".join(f"w{i}" for i in range(60))
+    two = one + " more"
+    rows = [(f"a{i}", one) for i in range(8)] + [(f"b{i}", two) for i in range(5)] + [("ab", one), ("ab", two), ("ba", two), ("ba", one)]
+    want = set(combinations(sorted({c for c, _ in rows}), 2))
+    df = neardup.near_pairs(chunks(spark, rows))
+    got = [(r.chunk_id_a, r.chunk_id_b) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_pairs_out_of_reach_get_no_texts(spark):
+    rng = random.Random(13)
+    rows = [(0, i, t) for i, t in enumerate(edited(rng, 25))]
+    texts = spark.createDataFrame(rows, "scope bigint, cls bigint, text string")
+    every = spark.createDataFrame([(a, b) for (_, a, _), (_, b, _) in combinations(rows, 2)], "a bigint, b bigint")
+    want = {(a, b) for (_, a, s), (_, b, t) in combinations(rows, 2) if likeness(s, t) >= 0.6}
+    close, own = shingle.possible(every, texts, "test")
+    assert want <= {tuple(r) for r in close.collect()} and close.count() < every.count() / 2
+    assert {(r.a, r.b) for r in shingle.verified(close, own).collect()} == want
+
+
 def test_runs_over_batches(spark):
     rng = random.Random(9)
     rows = [(rng.randint(0, 12), rng.randint(0, 60), 0, 0) for _ in range(400)]
