@@ -13,7 +13,7 @@ are read off the sorted stream; a group of very many values is aligned in blocks
 
 Which record survives is voted on in the same way: the field STANDING spells a record's version, time and id, and since
 the order of the records is given (highest version, then latest created_at, then smallest doc_id), so are the weights: each
-standing outweighs all lower ones together. All other fields come with their types from the best member that holds a value;
+standing outweighs all lower ones together. ``p2_found`` reads the survivors off the records so built. All other fields come with their types from the best member that holds a value;
 what describes the text (TEXT_BOUND) comes from members that hold the chosen text, if these have it.
 
 Defined cases: ids are compared as UUIDs in any spelling; a value that denotes no UUID, and a null, refer to nothing; an
@@ -238,11 +238,15 @@ def standing() -> Column:
     return F.concat_ws(" ", word("v", version), word("t", time), word("d", F.lit(_LAST) - F.col("doc_id")))
 
 
+def survivor(col: Column, kind: str) -> Column:
+    """The doc_id that a standing spells."""
+    return (F.lit(_LAST) - F.element_at(F.split(col, " d"), -1).cast("bigint")).cast(kind)
+
+
 def survivors(docs: DataFrame, member: DataFrame) -> DataFrame:
     """(group_doc_id, survivor_doc_id): the record whose standing the group votes for."""
     best = merged_fields(docs.withColumn(STANDING, standing()), member, (STANDING,))
-    own = (F.lit(_LAST) - F.element_at(F.split("value", " d"), -1).cast("bigint")).cast(docs.schema["doc_id"].dataType)
-    return best.select("group_doc_id", own.alias("survivor_doc_id"))
+    return best.select("group_doc_id", survivor(F.col("value"), docs.schema["doc_id"].dataType.simpleString()).alias("survivor_doc_id"))
 
 
 def held_fields(docs: DataFrame, member: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -263,16 +267,19 @@ def held_fields(docs: DataFrame, member: DataFrame, chosen: DataFrame) -> DataFr
 def best_records(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (group_doc_id, doc_id) and one record per group: survivor_doc_id and the merged fields."""
     member = stored(groups(docs), "p2-members")
-    fields = merged_fields(docs, member)
+    fields = merged_fields(docs.withColumn(STANDING, standing()), member, (STANDING, *FIELDS))
     wide = fields.groupBy("group_doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
-    record = survivors(docs, member).join(wide, "group_doc_id", "left").select("group_doc_id", "survivor_doc_id", *[F.col("m")[f].alias(f) for f in FIELDS])
+    own = survivor(F.col("m")[STANDING], docs.schema["doc_id"].dataType.simpleString()).alias("survivor_doc_id")
+    record = wide.select("group_doc_id", own, *[F.col("m")[f].alias(f) for f in FIELDS])
     return member, record.join(held_fields(docs, member, record.select("group_doc_id", F.xxhash64("text").alias("chosen"))), "group_doc_id", "left")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    member = stored(groups(docs), "p2-members")
-    return member.join(survivors(docs, member), "group_doc_id").select("group_doc_id", "doc_id", "survivor_doc_id")
+    """The members with the survivor of the record that their group builds by the vote of all fields."""
+    member, record = best_records(table(spark, sf_dir, "documents"))
+    # written whole, else the optimizer drops the fields that are not returned and with them their vote
+    record = stored(record, "p2-records")
+    return member.join(record, "group_doc_id").select("group_doc_id", "doc_id", "survivor_doc_id")
 
 
 def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,21 @@ def test_survivors_are_voted_for(spark):
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_found_survivors_come_from_the_merged_records(spark, tmp_path, monkeypatch):
+    """Every field of every group is voted on for p2_found, too."""
+    u = [f"0000000{i}-0000-4000-8000-00000000000{i}" for i in range(4)]
+    rows = [(1, u[1], None, 1, 5, "a b c"), (2, u[2], u[1], 2, 6, "a b d"), (3, u[3], u[1], 2, 7, "x b d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, id string, canonical_document_id string, version int, created_at int, text string").withColumn("created_at", F.timestamp_seconds("created_at"))
+    docs.withColumns({c: F.lit("x") for c in ("file_name", "lang", "industry", "source", "metadata")} | {"supersedes": F.lit(None).cast("string")}).write.parquet(f"{tmp_path}/documents.parquet")
+    kept: dict = {}
+    keep = survivors.stored
+    monkeypatch.setattr(survivors, "stored", lambda df, name: kept.setdefault(name, keep(df, name)))
+    got = survivors.p2_found(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 3), (1, 2, 3), (1, 3, 3)}
+    assert {r.field for r in kept["p2-votes"].collect()} == {survivors.STANDING, *survivors.FIELDS}
+    assert [(r.survivor_doc_id, r.text, r.version) for r in kept["p2-records"].collect()] == [(3, "a b d", 2)]
+
+
 # 3 personal information
 
 
