@@ -139,32 +139,34 @@ def lexicons(chunks: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """Family and given names of the corpus.
 
     A family name is seen with a title and at least once more, a given name with two family names, at any size of corpus.
-    All chunks teach but sections of text, whose children say the same once more.
+    All chunks teach. A section and its children say the same, so of both the one that says it more often counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
 
         def send() -> pa.RecordBatch:
-            rows = [(f, g, n) for (f, g), n in count.items()]
-            return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["family", "given", "n"])
+            rows = [(*k, n) for k, n in count.items()]
+            return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64()))], ["section", "whole", "family", "given", "n"])
 
         for b in slices(batches, "content"):
-            for t in b.column(0).to_pylist():
+            for section, whole, t in zip(*(c.to_pylist() for c in b.columns)):
                 for m in _PAIRS.finditer(t):
                     a, fam, fam2, g = m.groups()
-                    count[(fam or fam2).lower(), (a or g).lower()] += 1
+                    count[section, whole, (fam or fam2).lower(), (a or g).lower()] += 1
                 for m in _TITLED.finditer(t):
-                    count[m.group(1).lower(), m.group().split()[0].rstrip(".").lower() + "."] += 1
+                    count[section, whole, m.group(1).lower(), m.group().split()[0].rstrip(".").lower() + "."] += 1
             if len(count) > 300_000:
                 yield send()
                 count.clear()
         if count:
             yield send()
 
-    own = F.col("parent_id").isNotNull() | (F.coalesce("chunk_type", F.lit("TEXT")) != "TEXT") if "chunk_type" in chunks.columns else F.col("parent_id").isNotNull()
-    texts = chunks.where(own & F.col("content").isNotNull()).select("content")
-    pairs = stored(texts.mapInArrow(run, "family string, given string, n bigint").groupBy("family", "given").agg(F.sum("n").alias("n")), "p3-names")
+    texts = chunks.where(F.col("content").isNotNull()).select(F.coalesce("parent_id", "chunk_id").alias("section"), F.col("parent_id").isNull().alias("whole"), "content")
+    said = texts.mapInArrow(run, "section string, whole boolean, family string, given string, n bigint")
+    each = lambda whole: F.coalesce(F.sum(F.when(F.col("whole") == whole, F.col("n"))), F.lit(0))
+    said = said.groupBy("section", "family", "given").agg(F.greatest(each(True), each(False)).alias("n"))
+    pairs = stored(said.groupBy("family", "given").agg(F.sum("n").alias("n")), "p3-names")
     titled = F.col("given").endswith(".")
     family = pairs.groupBy("family").agg(F.max(titled.cast("int")).alias("t"), F.sum("n").alias("n")).where((F.col("t") == 1) & (F.col("n") >= 2))
     family = stored(family.orderBy(F.desc("n"), "family").limit(MOST_NAMES).select("family"), "p3-families")

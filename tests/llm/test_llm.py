@@ -237,6 +237,14 @@ def test_names_of_few_mentions_in_a_large_corpus(spark):
     assert pii.lexicons(large) == pii.lexicons(small) == (frozenset({"ostrevant", "marchetane"}), frozenset({"dagny"}))
 
 
+def test_names_of_sections_count(spark):
+    """Sections teach what no child says, and do not say once more what their children say."""
+    rows = [("s1", None, "d", "Mr Ostrevant. Dagny OSTREVANT", 1, "s"), ("s2", None, "d", "Frau Marchetane. Dagny MARCHETANE", 1, "s"), ("c2", "s2", "d", "Frau Marchetane.", 1, "s"), ("s3", None, "d", "Mr Verlinden came", 1, "s"), ("c3", "s3", "d", "Mr Verlinden came", 1, "s")]
+    df = spark.createDataFrame(rows, CHUNK)
+    for some in (df, df.withColumn("chunk_type", F.lit("TEXT"))):
+        assert pii.lexicons(some) == (frozenset({"ostrevant", "marchetane"}), frozenset({"dagny"}))
+
+
 def test_surrogates(spark):
     rows = [("a", "Call 555-555-0155, Mr Torrelmo."), ("b", "Call 555-555-0155 or 555-555-0156, Mr Torrelmo."), ("c", None), ("d", "none")]
     got = {r.chunk_id: r for r in pii.redacted(chunks(spark, rows), b"k").collect()}
