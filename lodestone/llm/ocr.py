@@ -11,20 +11,25 @@ one or two characters of like shape gives a word that is far more frequent.
 
 What a document repeats is a title-like line that its pages show twice or more, compared after folding characters of like
 shape; title families (the words before the code) that several documents share tell titles that stand alone. Words and
-families count by absolute support over all chunks, sections and tables included; what is sent to the workers is bounded by
-rank: the ``MOST_WORDS`` most frequent words, the ``MOST_FAMILIES`` most frequent families.
+families count by absolute support over all chunks, sections and tables included, at any number of them: the ``MOST_WORDS``
+most frequent words and the ``MOST_FAMILIES`` most frequent families are held in memory, all others are looked up in a file
+sorted by hash, which every worker has and maps.
 
 Defined cases: null and empty contents have no noise; a chunk stored twice counts once; null pages come last.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,12 +176,43 @@ class _Verdicts(dict):
         return got
 
 
+class Words(dict):
+    """Counts of words: the most frequent ones here, the rest in the file ``rest`` (hashes in order, then counts)."""
+
+    def __init__(self, top: dict[str, int], rest: str, longest: int) -> None:
+        super().__init__(top)
+        self.rest, self.longest, self.table = rest, longest, None
+
+    def __reduce__(self) -> tuple:
+        return Words, (dict(self), self.rest, self.longest)
+
+    def get(self, word: str, default: int | None = None) -> int | None:
+        got = super().get(word)
+        if got is not None:
+            return got
+        if self.table is None:
+            self.table = np.memmap(SparkFiles.get(self.rest), np.int64, "r").reshape(2, -1)
+        h = xxhash.xxh64_intdigest(word.encode(), 42)
+        h = h - 2**64 if h >= 2**63 else h
+        at = int(np.searchsorted(self.table[0], np.int64(h)))
+        return int(self.table[1, at]) if at < self.table.shape[1] and self.table[0, at] == h else default
+
+    def __missing__(self, word: str) -> int:
+        got = self.get(word)
+        if got is None:
+            raise KeyError(word)
+        return got
+
+    def __contains__(self, word: object) -> bool:
+        return self.get(word) is not None
+
+
 class Reader:
     """Labels and repairs the texts of one worker."""
 
-    def __init__(self, words: dict[str, int], families: frozenset[str], model: LineModel) -> None:
+    def __init__(self, words: dict[str, int], families: frozenset[str] | dict[str, int], model: LineModel) -> None:
         self.words, self.families, self.model = words, families, model
-        self.longest = max(map(len, words), default=0)
+        self.longest = words.longest if isinstance(words, Words) else max(map(len, words), default=0)
         self.memo: dict[str, str | None] = {}
         self.misread = _Verdicts(self.meant).__getitem__
 
@@ -320,12 +356,36 @@ def word_table(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("content").isNotNull()).select("content").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def lexicon(words: DataFrame, most: int) -> dict[str, int]:
+    """The stored ``words`` (word, n): the ``most`` most frequent in memory, the others in a file that goes to every worker."""
+    total = words.count()
+    if total <= most:
+        return {r.word: r.n for r in words.toLocalIterator()}
+    spark = words.sparkSession
+    top = {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(most).toLocalIterator()}
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in b.columns], ["h", "n"])
+
+    # Spark's xxhash64 of a text is XXH64 of its bytes with seed 42; the file holds the top words, too
+    sorted_ = words.select(F.xxhash64("word").alias("h"), F.col("n").cast("bigint").alias("n")).orderBy("h")
+    fd, name = tempfile.mkstemp(prefix="lodestone-words-")
+    os.close(fd)
+    out, at = np.memmap(name, np.int64, "w+", shape=(2, total)), 0
+    for r in sorted_.mapInArrow(packed, "h binary, n binary").toLocalIterator():
+        h = np.frombuffer(r.h, np.int64)
+        out[0, at : at + len(h)], out[1, at : at + len(h)] = h, np.frombuffer(r.n, np.int64)
+        at += len(h)
+    out.flush()
+    spark.sparkContext.addFile(name)
+    return Words(top, os.path.basename(name), words.agg(F.max(F.length("word"))).first()[0])
+
+
 def dictionary(chunks: DataFrame) -> dict[str, int]:
-    """The words of ``LEAST_COUNT`` occurrences or more, the ``MOST_WORDS`` most frequent of them at most."""
-    words = stored(word_table(chunks).where(F.col("n") >= LEAST_COUNT), "p6-words")
-    if words.count() > MOST_WORDS:
-        words = words.orderBy(F.desc("n"), "word").limit(MOST_WORDS)
-    return {r.word: r.n for r in words.toLocalIterator()}
+    """The words of ``LEAST_COUNT`` occurrences or more."""
+    return lexicon(stored(word_table(chunks).where(F.col("n") >= LEAST_COUNT), "p6-words"), MOST_WORDS)
 
 
 def title_table(chunks: DataFrame) -> DataFrame:
@@ -350,8 +410,9 @@ def prepared(chunks: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Reader
     """
     words = dictionary(chunks)
     titles = stored(title_table(chunks), "p6-titles")
-    few = titles.where("family is not null").groupBy("family").count().where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "family").limit(MOST_FAMILIES)
-    reader = Reader(words, frozenset(r.family for r in few.collect()), LineModel())
+    few = titles.where("family is not null").groupBy(F.col("family").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    few = lexicon(stored(few, "p6-families"), MOST_FAMILIES)
+    reader = Reader(words, few if isinstance(few, Words) else frozenset(few), LineModel())
     text = chunks.where(F.col("content").isNotNull() & (F.col("content") != ""))
     rows = text.select("chunk_id", "document_id", "page_number", "parent_id", "content").join(titles.select("document_id", "titles"), "document_id", "left")
     # long texts are no better a sample than short ones

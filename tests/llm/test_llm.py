@@ -523,6 +523,22 @@ def test_words_of_sections_and_tables_count(spark):
     assert got.isEmpty()
 
 
+def test_words_and_families_beyond_memory_count(spark, monkeypatch):
+    plain = "the encoder is removed from the upper hopper gate and the pump is polished naïve "
+    title = "Plant record KSZ-325Q"
+    rows = [(f"w{i}", None, f"e{i}", plain * 3, 1, "s") for i in range(30)] + [("mis", "p", "e", "the enc0dcr is removed from the upper h0pper gate", 1, "s"), ("hy", "p", "e", "the enc-\noder is removed from the upper\nhopper gate", 1, "s")]
+    rows += [(f"t{i}-{k}", "p", f"d{i}", f"{title}\nthe pump is polished\nand removed", k, "s") for i in range(6) for k in range(2)] + [("alone", "p", "x", f"{title}\nthe pump is polished\nand removed", 1, "s")]
+    df = spark.createDataFrame(rows, CHUNK)
+    found = lambda: sorted(tuple(r) for r in ocr.noise(df).collect())
+    want, words = found(), ocr.dictionary(df)
+    assert ("mis", "misread") in want and ("hy", "hyphenation") in want and ("alone", "header") in want
+    monkeypatch.setattr(ocr, "MOST_WORDS", 2)
+    monkeypatch.setattr(ocr, "MOST_FAMILIES", 0)
+    few = ocr.dictionary(df)
+    assert len(few) == 2 and {w: few.get(w) for w in words} == words and "naïve" in few and "encode" not in few and few.get("encode", 0) == 0
+    assert found() == want
+
+
 # 8 and 9 tokens
 
 
